@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 
 #: Words are what is not ASCII white space.
 SPACED = np.ones(256, bool)

@@ -22,7 +22,7 @@ from .shared import fresh
 
 WORDS = 10
 SAMPLE_EVERY = 8
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 3 << 20
 ITEM_BLOCK_BYTES = 16 << 20  # benchmark text that is broadcast at once; more is searched in blocks
 
 

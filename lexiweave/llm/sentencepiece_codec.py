@@ -22,7 +22,7 @@ from .bytekit import U64, chunked, mix, prefix_hash, span_hash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 48
 MARK = "▁"
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 
 
 class Pieces:
@@ -54,7 +54,11 @@ class Pieces:
                     weight[i] = max(lowest, -np.log(2.0 - scores[i])) if ranked else scores[i]
         if (self.byte_ids < 0).any():
             raise ValueError("the model has no byte fallback, so decoding can't be lossless")
+        if not 0 <= alpha <= 1.8:
+            raise ValueError("alpha must be between 0 and 1.8")
         self.weight = weight * alpha
+        self.factor = np.exp(self.weight)
+        self.per_byte = float(np.exp(-(lowest - 5) * alpha / 2))
         child: dict[tuple[int, int], int] = {}
         ends = {}
         for b, i in usable:
@@ -100,8 +104,16 @@ def cut_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, np.append(start, len(buf)), first
 
 
+#: Bytes of a character by its first byte; 0 for the others.
+CHAR_BYTES = np.repeat([1, 0, 2, 3, 4], [0x80, 0x40, 0x20, 0x10, 0x10])
+
+
 class Lattice:
-    """Incoming edges of every node of distinct units laid end to end (unit k: nodes node[k] to node[k] + its length)."""
+    """Incoming edges of every node of distinct units laid end to end (unit k: nodes node[k] to node[k] + its length).
+
+    Forward sums are kept as plain products: every byte of an edge multiplies it by a constant, which puts sums of
+    UNIT bytes well inside a double's range and cancels in the shares.
+    """
 
     def __init__(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, p: Pieces):
         self.node = np.concatenate(([0], np.cumsum(size + 1)))
@@ -111,44 +123,56 @@ class Lattice:
         text = buf[start[unit] + rel]
         left = size[unit] - rel  # bytes to the unit's end
         origin = self.node[unit] + rel
-        src, dst, ids = [origin], [origin + 1], [p.byte_ids[text]]
+        chars = CHAR_BYTES[text]
+        covered = np.zeros(len(text) + 4, bool)  # by a piece of one character
+        runs = []  # (bytes, places, ids): of each, a node is the end of one edge at most
+        child, wide = p.child.ravel(), text.astype(np.int64)
         at, state, step = np.arange(len(text)), np.zeros(len(text), np.int64), 0
         while len(at):
-            state = p.child[state, text[at + step]]
-            ok = state > 0
-            at, state = at[ok], state[ok]
+            state = child.take(state * 256 + wide[at + step])
+            ok = np.flatnonzero(state)
+            at, state = at[ok], state[ok].astype(np.int64)
             step += 1
-            hit = p.piece[state] >= 0
-            src.append(origin[at[hit]])
-            dst.append(origin[at[hit]] + step)
-            ids.append(p.piece[state[hit]].astype(np.int64))
-            go = left[at] > step
+            piece = p.piece.take(state)
+            hit = np.flatnonzero(piece >= 0)
+            if len(hit):
+                runs.append((step, at[hit], piece[hit].astype(np.int64)))
+                single = at[hit][chars[at[hit]] == step]
+                for k in range(step if step <= 4 else 0):
+                    covered[single + k] = True
+            go = np.flatnonzero(left[at] > step)
             at, state = at[go], state[go]
-        src, dst, ids = np.concatenate(src), np.concatenate(dst), np.concatenate(ids)
-        order = np.argsort(dst, kind="stable")
-        self.src, self.dst, self.ids = src[order], dst[order], ids[order]
-        weight = p.weight[self.ids]
-        self.lo = np.searchsorted(self.dst, np.arange(n + 1))
-        depth = np.zeros(n, np.int64)  # a node's distance from its unit's start
-        depth[origin + 1] = rel + 1
-        alpha = np.zeros(n)
-        self.share = np.ones(len(self.src))
-        edge_depth = depth[self.dst]
-        by = np.argsort(edge_depth, kind="stable")
-        cuts = np.searchsorted(edge_depth[by], np.arange(1, int(depth.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            e = by[a:b]
-            value = alpha[self.src[e]] + weight[e]
-            head = np.flatnonzero(np.concatenate(([True], self.dst[e][1:] != self.dst[e][:-1])))
-            count = np.diff(np.append(head, len(e)))
-            top = np.maximum.reduceat(value, head)
-            w = np.exp(value - np.repeat(top, count))
-            total = np.add.reduceat(w, head)
-            alpha[self.dst[e[head]]] = top + np.log(total)
-            self.share[e] = w / np.repeat(total, count)
-        running = np.cumsum(self.share)
-        base = np.concatenate(([0.0], running))[self.lo[:-1]]
-        self.upto = running - np.repeat(base, np.diff(self.lo))
+        bare = np.flatnonzero(~covered[: len(text)])
+        runs.append((1, bare, p.byte_ids[text[bare]]))
+
+        sums = np.zeros(n)
+        sums[self.node[:-1]] = 1.0
+        begin, edges = [], []
+        for step, place, ids in runs:
+            end_rel = (rel[place] + step).astype(np.uint8)
+            by = np.argsort(end_rel, kind="stable")
+            src = origin[place][by]
+            edges.append((src, src + step, ids[by], p.factor[ids[by]] * p.per_byte**step))
+            begin.append(np.searchsorted(end_rel[by], np.arange(1, UNIT + 3)).tolist())
+        for depth in range(UNIT + 1):
+            for (src, dst, _, w), cut in zip(edges, begin, strict=True):
+                a, b = cut[depth], cut[depth + 1]
+                if a < b:
+                    sums[dst[a:b]] += sums[src[a:b]] * w[a:b]
+        # Edges by their end: the runs fill each node's places one after the other.
+        degree = np.zeros(n + 1, np.int64)
+        for _, dst, _, _ in edges:
+            degree[dst + 1] += 1
+        self.lo = np.cumsum(degree)
+        total = int(self.lo[-1])
+        self.src, self.ids, self.upto = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        free, run = self.lo[:-1].copy(), np.zeros(n)
+        for src, dst, ids, w in edges:
+            e = free[dst]
+            free[dst] += 1
+            self.src[e], self.ids[e] = src, ids
+            run[dst] += sums[src] * w / sums[dst]
+            self.upto[e] = run[dst]
 
 
 def sample(lattice: Lattice, unit: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

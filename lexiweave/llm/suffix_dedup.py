@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import U64, blobs, chunked, mix, prefix_hash, span_hash
+from .bytekit import U64, blobs, chunked, mix, powers, prefix_hash, span_hash
 from .filters import BLOB_SCHEMA, build_filter, count_blobs, frequent_keys
 from .shared import fresh, shards_for, stored
 
 LENGTH = 200
 HOT = 48  # occurrences from which an anchor's windows are dealt by fingerprint
-CHUNK = 8 << 20
+CHUNK = 1_900_000
 
 
 class SuffixFamily:
@@ -80,27 +80,46 @@ class Anchors:
         self.hash, self.pos, self.first, self.last, self.doc = np.empty(0, U64), empty, empty, empty, empty
         if n < length or not (size >= length).any():
             return
-        m = n - k + 1
-        spot = np.arange(m)
-        h = span_hash(self.sums, spot, spot + k)
-        key = (h & U64(0xFFFFFFFF00000000)) | spot.astype(U64)
-        pad = -m % w
-        blocks = np.concatenate((key, np.full(pad, np.iinfo(np.uint64).max, U64))).reshape(-1, w)
-        head = np.minimum.accumulate(blocks, axis=1).ravel()
-        tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        low = np.minimum(tail[: n - length + 1], head[w - 1 : n - length + w])
-        edge = np.zeros(n + 1, np.int32)
-        long = size >= length
-        np.add.at(edge, self.at[:-1][long], 1)
-        np.add.at(edge, self.at[1:][long] - length + 1, -1)
-        start = np.flatnonzero(np.cumsum(edge)[: n - length + 1])
-        anchor = (low[start] & U64(0xFFFFFFFF)).astype(np.int64)
-        # An anchor's windows are consecutive; a change of anchor or a gap between documents starts the next run.
-        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)) + 1
-        begin, end = np.concatenate(([0], cut)), np.append(cut, len(start)) - 1
-        self.pos, self.first, self.last = anchor[begin], start[begin], start[end]
-        self.hash = h[self.pos]
-        self.doc = np.searchsorted(self.at, self.first, side="right") - 1
+        # Order by the high half of a multiplied hash; the smallest over each window by doubling.
+        order = self.sums[k:] - self.sums[:-k]
+        order *= powers(n + 1)[1][: n - k + 1]
+        order *= U64(0xD1342543DE82EF95)
+        h = (order >> U64(32)).astype(np.uint32)
+        low, step = h, 1
+        while 2 * step <= w:
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        if step < w:
+            low = np.minimum(low[: n - length + 1], low[w - step : w - step + n - length + 1])
+        # Runs of windows with one smallest value, inside one document each.
+        cut = np.flatnonzero(low[1:] != low[:-1]) + 1
+        starts = self.at[:-1][size >= length]
+        begin = np.union1d(cut, starts)
+        doc = np.searchsorted(self.at, begin, side="right") - 1
+        end = np.minimum(np.append(begin[1:], n - length + 1) - 1, self.at[doc + 1] - length)
+        ok = (end >= begin) & (doc >= 0)
+        begin, end, doc = begin[ok], end[ok], doc[ok]
+        entered = np.zeros(len(begin), bool)  # a value below the last window's entered with its last place
+        inner = begin > self.at[doc]
+        entered[inner] = low[begin[inner]] < low[begin[inner] - 1]
+        pos, first, last, owner = [], [], [], []
+        while len(begin):
+            at = begin + w - 1
+            look = np.flatnonzero(~entered)
+            for i in range(0, len(look), 4096):
+                some = look[i : i + 4096]
+                at[some] = begin[some] + (h[begin[some][:, None] + np.arange(w)] == low[begin[some]][:, None]).argmax(axis=1)
+            stop = np.minimum(end, at)  # windows from beyond `at` have the next such place as their leftmost
+            pos.append(at)
+            first.append(begin)
+            last.append(stop)
+            owner.append(doc)
+            more = end > at
+            begin, end, doc, entered = at[more] + 1, end[more], doc[more], np.zeros(int(more.sum()), bool)
+        pos, first, last, doc = map(np.concatenate, (pos, first, last, owner))
+        by = np.argsort(first, kind="stable")
+        self.pos, self.first, self.last, self.doc = pos[by], first[by], last[by], doc[by]
+        self.hash = span_hash(self.sums, self.pos, self.pos + k)
 
 
 def _slices(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
