@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bytekit import SPACED, U64, Tokens, chunked, mix, ngrams, unique_counts
 from .components import components
-from .filters import BLOB_SCHEMA, build_filter, count_blobs, frequent_keys
+from .filters import BLOB_SCHEMA, build_filter, count_blobs, frequent_keys, pack_keys, unpack_keys
 from .shared import shards_for, stored
 
 WORDS = 5
@@ -119,7 +119,7 @@ def _regions(batches, words, common, percent, maybe):
             continue
         yield pa.record_batch([pa.array(np.zeros(len(h), np.int32)), _signed(h), _signed(s.k1[doc]), _signed(s.k2[doc]), pa.array(s.size[doc]), pa.nulls(len(h), pa.binary())], names=names)
         own = np.unique(doc)
-        blob = [s.values[s.cuts[d] : s.cuts[d + 1]].tobytes() for d in own.tolist()]
+        blob = [pack_keys(s.values[s.cuts[d] : s.cuts[d + 1]] >> U64(16)) for d in own.tolist()]  # 48 bits tell the shingles of two sets apart
         yield pa.record_batch([pa.array(np.ones(len(own), np.int32)), pa.array(np.zeros(len(own), np.int64)), _signed(s.k1[own]), _signed(s.k2[own]), pa.array(s.size[own]), pa.array(blob, pa.binary())], names=names)
 
 
@@ -128,8 +128,7 @@ def _shared(batches):
     for batch in batches:
         both, either = [], []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            z = np.sort(np.concatenate((x, y)))
+            z = np.sort(np.concatenate((unpack_keys(x.as_buffer()), unpack_keys(y.as_buffer()))))
             both.append(int((z[1:] == z[:-1]).sum()))
             either.append(len(z) - both[-1])
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
@@ -176,7 +175,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     sets = stored(found.where("kind = 1").groupBy("k1", "k2").agg(F.first("members").alias("members")).join(classes, ["k1", "k2"]).select("c", "members"), "sets")
 
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    choose = lambda seed: F.min_by(F.struct("c", "n"), F.xxhash64("c", "h", F.lit(seed)))
+    choose = lambda seed: F.min_by(F.struct("c", "n"), F.xxhash64("c", F.lit(seed)))
     pivots = regions.groupBy("h").agg(choose(0).alias("p")).select("h", F.col("p.c").alias("p"), F.col("p.n").alias("pn"))
     pivots = stored(pivots, "pivots")
     pairs = regions.join(pivots, "h").where((F.col("c") != F.col("p")) & close(F.col("n"), F.col("pn")))
