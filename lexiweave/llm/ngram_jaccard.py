@@ -11,6 +11,9 @@ Equal sets are one *class*. Jaccard distance is a metric, and the join divides i
    what is left is compared with its region where the triangle inequality on the distances to the pivot
    and the set sizes allow a link, and where both aren't in one component already.
 
+A comparison first meets a lower bound on the distance, the Hamming distance of two bitmaps that hold each
+set's parity by hash; the sets themselves are read for pairs that pass, and only those of classes in such pairs.
+
 Components are the result, so pairs within a component need no comparison; no possible link between
 two components is skipped. Shingles and classes are known by 64 and 128 bits of hash.
 """
@@ -29,10 +32,10 @@ from .shared import shards_for, stored
 
 WORDS = 5
 PERCENT = 80  # similarity
-COMMON = 1 << 16  # shingles (16 bytes each) that the shared order puts last
-COMMON_IN_CHUNK, COMMON_AT_ALL = 6, 24
-REST = 1_000_000  # comparisons left over from which regions are joined recursively once more
-ROUNDS = 6
+COMMON = 1 << 17  # shingles (16 bytes each) that the shared order puts last
+COMMON_IN_CHUNK, COMMON_AT_ALL = 3, 12
+REST = 2_000_000  # comparisons left over from which regions are joined recursively once more
+ROUNDS = 4
 NO_ID = 1 << 62  # classes whose documents have no id are numbered from here
 
 
@@ -109,7 +112,7 @@ def _prefix_pieces(batches, words, common, percent):
 
 def _regions(batches, words, common, percent, maybe):
     """kind 0: (shingle h, class, n) of prefix shingles that may have more than one class; kind 1: the sets of classes with any."""
-    names = ["kind", "h", "k1", "k2", "n", "members"]
+    names = ["kind", "h", "k1", "k2", "n", "parity", "members"]
     for _, texts in chunked(batches, "t"):
         s = Sets(texts, words)
         h, doc = prefixes(s, s.distinct(), common, percent)
@@ -117,10 +120,36 @@ def _regions(batches, words, common, percent, maybe):
         h, doc = h[ok], doc[ok]
         if not len(h):
             continue
-        yield pa.record_batch([pa.array(np.zeros(len(h), np.int32)), _signed(h), _signed(s.k1[doc]), _signed(s.k2[doc]), pa.array(s.size[doc]), pa.nulls(len(h), pa.binary())], names=names)
+        yield pa.record_batch([pa.array(np.zeros(len(h), np.int32)), _signed(h), _signed(s.k1[doc]), _signed(s.k2[doc]), pa.array(s.size[doc]), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names=names)
         own = np.unique(doc)
         blob = [pack_keys(s.values[s.cuts[d] : s.cuts[d + 1]] >> U64(16)) for d in own.tolist()]  # 48 bits tell the shingles of two sets apart
-        yield pa.record_batch([pa.array(np.ones(len(own), np.int32)), pa.array(np.zeros(len(own), np.int64)), _signed(s.k1[own]), _signed(s.k2[own]), pa.array(s.size[own]), pa.array(blob, pa.binary())], names=names)
+        bits = [parity(s.values[s.cuts[d] : s.cuts[d + 1]]) for d in own.tolist()]
+        yield pa.record_batch([pa.array(np.ones(len(own), np.int32)), pa.array(np.zeros(len(own), np.int64)), _signed(s.k1[own]), _signed(s.k2[own]), pa.array(s.size[own]), pa.array(bits, pa.binary()), pa.array(blob, pa.binary())], names=names)
+
+
+def parity(values: np.ndarray) -> bytes:
+    """How often each low part of a hash occurs, odd or even, in n to 2n bits (64 at least)."""
+    size = max(64, 1 << len(values).bit_length())
+    odd = np.bincount((values & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound on the symmetric difference of two sets, from their parities; the longer one is folded."""
+    if len(x) > len(y):
+        x, y = y, x
+    v, bits = int.from_bytes(y, "little"), 8 * len(y)
+    while bits > 8 * len(x):
+        bits //= 2
+        v = (v >> bits) ^ (v & ((1 << bits) - 1))
+    return (v ^ int.from_bytes(x, "little")).bit_count()
+
+
+def _passing(batches, percent):
+    """The rows whose parities (the last four columns: na, pa, nb, pb) allow a link, without these."""
+    for batch in batches:
+        ok = [(100 + percent) * least_difference(x, y) <= (100 - percent) * (m + n) for m, x, n, y in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 4, batch.num_columns)), strict=True)]
+        yield batch.select(range(batch.num_columns - 4)).filter(pa.array(ok, pa.bool_()))
 
 
 def _shared(batches):
@@ -134,12 +163,25 @@ def _shared(batches):
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of distinct pairs a < b of classes; stored."""
-    left = sets.select(F.col("c").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("c").alias("b"), F.col("members").alias("mb"))
-    rows = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
-    out = rows.mapInArrow(_shared, "a long, b long, both long, either long")
+def _compare(pairs: DataFrame, marks: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, distance, linked) of those distinct pairs a < b of classes whose parities allow a link; stored."""
+    side = lambda s: marks.select(F.col("c").alias(s), *(F.col(x).alias(x + s) for x in ("k1", "k2", "n", "parity")))
+    rows = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "k1a", "k2a", "b", "k1b", "k2b", "na", "paritya", "nb", "parityb")
+    near = stored(rows.mapInArrow(lambda b: _passing(b, percent), "a long, k1a long, k2a long, b long, k1b long, k2b long"), "near")
+    needed = near.select(F.explode(F.array("k1a", "k1b")).alias("k"))
+    shards = 64
+    counts = needed.mapInArrow(lambda b: count_blobs((mix(x.column(0).to_numpy().view(U64)) for x in b), shards), BLOB_SCHEMA)
+    wanted = pairs.sparkSession.sparkContext.broadcast(build_filter(frequent_keys(counts, (1,), "needed")[0], shards))
+
+    def pick(batches):
+        for b in batches:
+            yield b.filter(pa.array(wanted.value.has(mix(b.column(0).to_numpy().view(U64)))))
+
+    sets = members.mapInArrow(pick, "k1 long, k2 long, members binary").groupBy("k1", "k2").agg(F.first("members").alias("members"))
+    sets = stored(sets, "sets")
+    part = lambda s: sets.select(F.col("k1").alias("k1" + s), F.col("k2").alias("k2" + s), F.col("members").alias("m" + s))
+    both = near.join(part("a"), ["k1a", "k2a"]).join(part("b"), ["k1b", "k2b"]).select("a", "b", "ma", "mb")
+    out = both.mapInArrow(_shared, "a long, b long, both long, either long")
     return stored(out.select("a", "b", (1 - F.col("both") / F.col("either")).alias("distance"), (100 * F.col("both") >= percent * F.col("either")).alias("linked")), "compared")
 
 
@@ -166,20 +208,23 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     counts = source.mapInArrow(lambda batches: count_blobs(_prefix_pieces(batches, words, common.value, percent), shards), BLOB_SCHEMA)
     (repeated,) = frequent_keys(counts, (2,), "prefixes")
     maybe = spark.sparkContext.broadcast(build_filter(repeated, shards))
-    found = stored(source.mapInArrow(lambda batches: _regions(batches, words, common.value, percent, maybe.value), "kind int, h long, k1 long, k2 long, n long, members binary"), "regions")
+    found = stored(source.mapInArrow(lambda batches: _regions(batches, words, common.value, percent, maybe.value), "kind int, h long, k1 long, k2 long, n long, parity binary, members binary"), "regions")
 
     classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.first("k1"), F.lit(1 << 61))).alias("c")), "classes")
     members = found.where("kind = 0").select("h", "k1", "k2", "n").distinct()
     several = members.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     regions = stored(members.join(several.select("h"), "h").join(classes, ["k1", "k2"]).select("h", "c", "n"), "members")
-    sets = stored(found.where("kind = 1").groupBy("k1", "k2").agg(F.first("members").alias("members")).join(classes, ["k1", "k2"]).select("c", "members"), "sets")
+    sets = found.where("kind = 1").select("k1", "k2", "members")
+    held = regions.select("c").distinct()
+    marks = found.where("kind = 1").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(classes, ["k1", "k2"]).join(held, "c", "left_semi")
+    marks = stored(marks, "marks")
 
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     choose = lambda seed: F.min_by(F.struct("c", "n"), F.xxhash64("c", F.lit(seed)))
     pivots = regions.groupBy("h").agg(choose(0).alias("p")).select("h", F.col("p.c").alias("p"), F.col("p.n").alias("pn"))
     pivots = stored(pivots, "pivots")
     pairs = regions.join(pivots, "h").where((F.col("c") != F.col("p")) & close(F.col("n"), F.col("pn")))
-    tested = _compare(pairs.select(*_pair(F.col("c"), F.col("p"))), sets, percent)
+    tested = _compare(pairs.select(*_pair(F.col("c"), F.col("p"))), marks, sets, percent)
     labels = components(tested.where("linked").select("a", "b"))
     spent = None
     for round_ in range(1, ROUNDS + 1):
@@ -198,7 +243,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
         chosen = stored(rest.groupBy("h").agg(choose(round_).alias("p")).select("h", F.col("p.c").alias("q"), F.col("p.n").alias("qn")), "pivots")
         pairs = named.join(chosen, "h").join(labels.select(F.col("node").alias("q"), F.col("component").alias("qcomp")), "q", "left")
         pairs = pairs.where((F.col("c") != F.col("q")) & (F.col("comp") != F.coalesce("qcomp", "q")) & close(F.col("n"), F.col("qn")))
-        more = _compare(pairs.select(*_pair(F.col("c"), F.col("q"))), sets, percent)
+        more = _compare(pairs.select(*_pair(F.col("c"), F.col("q"))), marks, sets, percent)
         tested = tested.union(more)
         spent = chosen.select("h", F.col("q").alias("c")) if spent is None else spent.union(chosen.select("h", F.col("q").alias("c")))
         labels = components(tested.where("linked").select("a", "b"))
@@ -215,7 +260,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
         others = others.select("h", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("ycomp"), F.col("distance").alias("yd"))
         window = F.col("distance").isNull() | F.col("yd").isNull() | (F.abs(F.col("distance") - F.col("yd")) <= (100 - percent) / 100 + 1e-9)
         pairs = own.join(others, "h").where((F.col("comp") != F.col("ycomp")) & close(F.col("n"), F.col("ny")) & window)
-        tested = tested.union(_compare(pairs.select(*_pair(F.col("c"), F.col("y"))), sets, percent))
+        tested = tested.union(_compare(pairs.select(*_pair(F.col("c"), F.col("y"))), marks, sets, percent))
         labels = components(tested.where("linked").select("a", "b"))
     named = classes.join(labels, F.col("c") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "c").alias("component"))
     named = named.withColumn("component", F.when(F.col("component") < NO_ID, F.col("component")))
