@@ -7,12 +7,15 @@ prefix sums, so that no Python object is made per token.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 3 << 19
 
 #: Words are what is not ASCII white space.
 SPACED = np.ones(256, bool)
@@ -96,6 +99,12 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(g + U64(n))
 
 
+def release() -> None:
+    """Give freed heap back to the system: workers are kept for later tasks, beside others of their executor."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunked(batches, column: str, limit: int = CHUNK_BYTES):
     """(rows, texts) pieces of record batches: whole texts as bytes (null: None), about `limit` bytes and one row at least."""
     for batch in batches:
@@ -110,6 +119,7 @@ def chunked(batches, column: str, limit: int = CHUNK_BYTES):
             hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(lo, hi - lo), col.slice(lo, hi - lo).to_pylist()
             lo = hi
+        release()
 
 
 def blobs(keys: np.ndarray, shards: int, *columns: np.ndarray):
