@@ -24,15 +24,27 @@ EMBEDDING = 8
 ROWS_PER_LABEL = 500  # bound on the labelled rows that training uses, per label
 MAX_LABELS = 256
 PIECES = 4  # places of a training row that windows are taken from
-EPOCHS, RATE, SEED = 12, 0.05, 7
+EPOCHS, RATE, SEED = 20, 0.1, 7
 BATCH = 512
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def lower(x: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the two-byte Latin-1 capitals in lower case."""
+    x = _LOWER[x]
+    capital = np.flatnonzero((x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[1:] != 0x97)) + 1
+    x[capital] += 0x20
+    return x
+
+
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(windows by position [WINDOW, n] of uint8, document of each); the last window of a longer text ends with the text."""
     parts, owner = [], []
     for k, t in enumerate(texts):
-        a = np.frombuffer(t, np.uint8)
+        a = lower(np.frombuffer(t, np.uint8))
         if not len(a):
             continue
         n = -(-len(a) // WINDOW)
