@@ -244,8 +244,17 @@ def encode(docs: DataFrame, key_column: str = "doc_id", text: str = "text", ids:
     return source.mapInArrow(run, f"{schema}, `{ids}` array<int>")
 
 
-def decode_ids(ids: list[int], p: Pieces) -> bytes:
-    out = b"".join(map(p.bytes.__getitem__, ids))
+def piece_bytes(path: str) -> list[bytes]:
+    """The bytes that each id stands for; decoding needs nothing else of a model."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = lambda i: bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
+    return [plain(i) for i in range(sp.get_piece_size())]
+
+
+def decode_ids(ids: list[int], pieces: list[bytes]) -> bytes:
+    out = b"".join(map(pieces.__getitem__, ids))
     return out[1:] if out[:1] == b" " else out
 
 
@@ -254,10 +263,12 @@ def decode(docs: DataFrame, ids: str = "piece_ids", text: str = "decoded", model
     keep = [c for c in docs.columns if c != text]
 
     def run(batches):
-        p = load(model, 1.0)
+        pieces = piece_bytes(model)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            out = [None if x is None else decode_ids(x, p).decode() for x in lists.to_pylist()]
+            flat, cuts, known = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+            # One row's ids at a time become Python integers.
+            out = [decode_ids(flat[a:b].tolist(), pieces).decode() if ok else None for a, b, ok in zip(cuts[:-1].tolist(), cuts[1:].tolist(), known, strict=True)]
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
