@@ -22,7 +22,7 @@ from .bytekit import U64, chunked, mix, prefix_hash, span_hash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 48
 MARK = "▁"
-CHUNK = 3 << 20
+CHUNK = 2_000_000
 
 
 class Pieces:
