@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import U64, chunked, mix, prefix_hash, span_hash
+from .bytekit import U64, chunked, mix, prefix_hash, release, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 48
 MARK = "▁"
-CHUNK = 2_000_000
+CHUNK = 1_200_000
 
 
 class Pieces:
@@ -264,12 +264,15 @@ def decode(docs: DataFrame, ids: str = "piece_ids", text: str = "decoded", model
 
     def run(batches):
         pieces = piece_bytes(model)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            flat, cuts, known = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
-            # One row's ids at a time become Python integers.
-            out = [decode_ids(flat[a:b].tolist(), pieces).decode() if ok else None for a, b, ok in zip(cuts[:-1].tolist(), cuts[1:].tolist(), known, strict=True)]
-            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                lists = batch.column(batch.schema.get_field_index(ids))
+                flat, cuts, known = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+                # One row's ids at a time become Python integers.
+                out = [decode_ids(flat[a:b].tolist(), pieces).decode() if ok else None for a, b, ok in zip(cuts[:-1].tolist(), cuts[1:].tolist(), known, strict=True)]
+                yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
+            release()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep).mapInArrow(run, f"{schema}, `{text}` string")
