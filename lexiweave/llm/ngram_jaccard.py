@@ -9,7 +9,9 @@ Equal sets are one *class*. Jaccard distance is a metric, and the join divides i
    within 0.2 is linked. Classes that linking has not brought into the pivot's component are the rest: while the rest of
    the regions is large, it is joined recursively with new pivots, each compared with its whole region. In the end
    what is left is compared with its region where the triangle inequality on the distances to the pivot
-   and the set sizes allow a link, and where both aren't in one component already.
+   allows a link, and where both aren't in one component already. All comparisons keep to pairs whose set sizes
+   and places of the region's shingle in their orders allow a link with no earlier shared shingle: a link passes in
+   the region of its first shared shingle.
 
 A comparison first meets a lower bound on the distance, the Hamming distance of two bitmaps that hold each
 set's parity by hash; the sets themselves are read for pairs that pass, and only those of classes in such pairs.
@@ -68,8 +70,8 @@ class Sets:
         return np.sort(first[self.size[first] > 0])
 
 
-def prefixes(s: Sets, which: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, documents): of each chosen set the shingles that a set as similar as `percent` must share one of, by the common order."""
+def prefixes(s: Sets, which: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, documents, places): of each chosen set the shingles that a set as similar as `percent` must share one of, with their places in the common order."""
     order = s.values >> U64(1)
     if len(common):
         at = np.minimum(np.searchsorted(common, s.values), len(common) - 1)
@@ -80,9 +82,10 @@ def prefixes(s: Sets, which: np.ndarray, common: np.ndarray, percent: int) -> tu
         n = b - a
         p = n - -(-percent * n // 100) + 1
         own = order[a:b]
-        out.append(s.values[a:b] if p >= n else s.values[a:b][np.argsort(own)[:p]])
+        out.append(s.values[a:b][np.argsort(own)[:p]])
     size = [len(x) for x in out]
-    return (np.concatenate(out) if out else np.empty(0, U64)), np.repeat(which, size)
+    place = np.concatenate([np.arange(x) for x in size]) if out else np.empty(0, np.int64)
+    return (np.concatenate(out) if out else np.empty(0, U64)), np.repeat(which, size), place
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -111,20 +114,20 @@ def _prefix_pieces(batches, words, common, percent):
 
 
 def _regions(batches, words, common, percent, maybe):
-    """kind 0: (shingle h, class, n) of prefix shingles that may have more than one class; kind 1: the sets of classes with any."""
-    names = ["kind", "h", "k1", "k2", "n", "parity", "members"]
+    """kind 0: (shingle h, class, n, place of h) of prefix shingles that may have more than one class; kind 1: the sets of classes with any."""
+    names = ["kind", "h", "k1", "k2", "n", "at", "parity", "members"]
     for _, texts in chunked(batches, "t"):
         s = Sets(texts, words)
-        h, doc = prefixes(s, s.distinct(), common, percent)
+        h, doc, place = prefixes(s, s.distinct(), common, percent)
         ok = maybe.has(h)
-        h, doc = h[ok], doc[ok]
+        h, doc, place = h[ok], doc[ok], place[ok]
         if not len(h):
             continue
-        yield pa.record_batch([pa.array(np.zeros(len(h), np.int32)), _signed(h), _signed(s.k1[doc]), _signed(s.k2[doc]), pa.array(s.size[doc]), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names=names)
+        yield pa.record_batch([pa.array(np.zeros(len(h), np.int32)), _signed(h), _signed(s.k1[doc]), _signed(s.k2[doc]), pa.array(s.size[doc]), pa.array(place), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names=names)
         own = np.unique(doc)
         blob = [pack_keys(s.values[s.cuts[d] : s.cuts[d + 1]] >> U64(16)) for d in own.tolist()]  # 48 bits tell the shingles of two sets apart
         bits = [parity(s.values[s.cuts[d] : s.cuts[d + 1]]) for d in own.tolist()]
-        yield pa.record_batch([pa.array(np.ones(len(own), np.int32)), pa.array(np.zeros(len(own), np.int64)), _signed(s.k1[own]), _signed(s.k2[own]), pa.array(s.size[own]), pa.array(bits, pa.binary()), pa.array(blob, pa.binary())], names=names)
+        yield pa.record_batch([pa.array(np.ones(len(own), np.int32)), pa.array(np.zeros(len(own), np.int64)), _signed(s.k1[own]), _signed(s.k2[own]), pa.array(s.size[own]), pa.nulls(len(own), pa.int64()), pa.array(bits, pa.binary()), pa.array(blob, pa.binary())], names=names)
 
 
 def parity(values: np.ndarray) -> bytes:
@@ -208,41 +211,42 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     counts = source.mapInArrow(lambda batches: count_blobs(_prefix_pieces(batches, words, common.value, percent), shards), BLOB_SCHEMA)
     (repeated,) = frequent_keys(counts, (2,), "prefixes")
     maybe = spark.sparkContext.broadcast(build_filter(repeated, shards))
-    found = stored(source.mapInArrow(lambda batches: _regions(batches, words, common.value, percent, maybe.value), "kind int, h long, k1 long, k2 long, n long, parity binary, members binary"), "regions")
+    found = stored(source.mapInArrow(lambda batches: _regions(batches, words, common.value, percent, maybe.value), "kind int, h long, k1 long, k2 long, n long, at long, parity binary, members binary"), "regions")
 
     classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.first("k1"), F.lit(1 << 61))).alias("c")), "classes")
-    members = found.where("kind = 0").select("h", "k1", "k2", "n").distinct()
+    members = found.where("kind = 0").select("h", "k1", "k2", "n", "at").distinct()
     several = members.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    regions = stored(members.join(several.select("h"), "h").join(classes, ["k1", "k2"]).select("h", "c", "n"), "members")
+    regions = stored(members.join(several.select("h"), "h").join(classes, ["k1", "k2"]).select("h", "c", "n", "at"), "members")
     sets = found.where("kind = 1").select("k1", "k2", "members")
     held = regions.select("c").distinct()
     marks = found.where("kind = 1").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(classes, ["k1", "k2"]).join(held, "c", "left_semi")
     marks = stored(marks, "marks")
 
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    choose = lambda seed: F.min_by(F.struct("c", "n"), F.xxhash64("c", F.lit(seed)))
-    pivots = regions.groupBy("h").agg(choose(0).alias("p")).select("h", F.col("p.c").alias("p"), F.col("p.n").alias("pn"))
+    # Sizes m, n and places i, j of the shingle allow a link of which it is the first shared one: all that is shared comes at or after it.
+    close = lambda m, n, i, j: (100 + percent) * F.least(m - i, n - j) >= percent * (m + n)
+    choose = lambda seed: F.min_by(F.struct("c", "n", "at"), F.xxhash64("c", F.lit(seed)))
+    pivots = regions.groupBy("h").agg(choose(0).alias("p")).select("h", F.col("p.c").alias("p"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
     pivots = stored(pivots, "pivots")
-    pairs = regions.join(pivots, "h").where((F.col("c") != F.col("p")) & close(F.col("n"), F.col("pn")))
+    pairs = regions.join(pivots, "h").where((F.col("c") != F.col("p")) & close(F.col("n"), F.col("pn"), F.col("at"), F.col("pat")))
     tested = _compare(pairs.select(*_pair(F.col("c"), F.col("p"))), marks, sets, percent)
     labels = components(tested.where("linked").select("a", "b"))
     spent = None
     for round_ in range(1, ROUNDS + 1):
-        named = regions.join(labels, F.col("c") == F.col("node"), "left").select("h", "c", "n", F.coalesce("component", "c").alias("comp"))
+        named = regions.join(labels, F.col("c") == F.col("node"), "left").select("h", "c", "n", "at", F.coalesce("component", "c").alias("comp"))
         heads = pivots.join(labels, F.col("p") == F.col("node"), "left").select("h", "p", F.coalesce("component", "p").alias("pcomp"))
         state = named.join(heads, "h")
         rest = state.where((F.col("comp") != F.col("pcomp")) & (F.col("c") != F.col("p")))
         if spent is not None:
             rest = rest.join(spent, ["h", "c"], "left_anti")
-        rest = stored(rest.select("h", "c", "n", "comp", "p"), "rest")
+        rest = stored(rest.select("h", "c", "n", "at", "comp", "p"), "rest")
         sizes = rest.groupBy("h").agg(F.count("*").alias("u")).join(regions.groupBy("h").agg(F.count("*").alias("m")), "h")
         left = sizes.agg(F.coalesce(F.sum(F.col("u") * F.col("m")), F.lit(0))).first()[0]
         if left <= REST or round_ == ROUNDS:
             break
         # Recursion: a new pivot for each region from its rest, compared with all of the region but its own component.
-        chosen = stored(rest.groupBy("h").agg(choose(round_).alias("p")).select("h", F.col("p.c").alias("q"), F.col("p.n").alias("qn")), "pivots")
+        chosen = stored(rest.groupBy("h").agg(choose(round_).alias("p")).select("h", F.col("p.c").alias("q"), F.col("p.n").alias("qn"), F.col("p.at").alias("qat")), "pivots")
         pairs = named.join(chosen, "h").join(labels.select(F.col("node").alias("q"), F.col("component").alias("qcomp")), "q", "left")
-        pairs = pairs.where((F.col("c") != F.col("q")) & (F.col("comp") != F.coalesce("qcomp", "q")) & close(F.col("n"), F.col("qn")))
+        pairs = pairs.where((F.col("c") != F.col("q")) & (F.col("comp") != F.coalesce("qcomp", "q")) & close(F.col("n"), F.col("qn"), F.col("at"), F.col("qat")))
         more = _compare(pairs.select(*_pair(F.col("c"), F.col("q"))), marks, sets, percent)
         tested = tested.union(more)
         spent = chosen.select("h", F.col("q").alias("c")) if spent is None else spent.union(chosen.select("h", F.col("q").alias("c")))
@@ -256,10 +260,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
         own = at_pivot(rest)
         hot = rest.select("h").distinct()
-        others = at_pivot(state.where("c <> p").join(hot, "h").select("h", "c", "n", "comp", "p"))
-        others = others.select("h", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("ycomp"), F.col("distance").alias("yd"))
+        others = at_pivot(state.where("c <> p").join(hot, "h").select("h", "c", "n", "at", "comp", "p"))
+        others = others.select("h", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("at").alias("yat"), F.col("comp").alias("ycomp"), F.col("distance").alias("yd"))
         window = F.col("distance").isNull() | F.col("yd").isNull() | (F.abs(F.col("distance") - F.col("yd")) <= (100 - percent) / 100 + 1e-9)
-        pairs = own.join(others, "h").where((F.col("comp") != F.col("ycomp")) & close(F.col("n"), F.col("ny")) & window)
+        pairs = own.join(others, "h").where((F.col("comp") != F.col("ycomp")) & close(F.col("n"), F.col("ny"), F.col("at"), F.col("yat")) & window)
         tested = tested.union(_compare(pairs.select(*_pair(F.col("c"), F.col("y"))), marks, sets, percent))
         labels = components(tested.where("linked").select("a", "b"))
     named = classes.join(labels, F.col("c") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "c").alias("component"))
