@@ -9,12 +9,12 @@ Equal sets are one *class*. Jaccard distance is a metric, and the join divides i
    within 0.2 is linked. Classes that linking has not brought into the pivot's component are the rest: while the rest of
    the regions is large, it is joined recursively with new pivots, each compared with its whole region. In the end
    what is left is compared with its region where the triangle inequality on the distances to the pivot
-   allows a link, and where both aren't in one component already. All comparisons keep to pairs whose set sizes
-   and places of the region's shingle in their orders allow a link with no earlier shared shingle: a link passes in
-   the region of its first shared shingle.
+   allows a link, and where both aren't in one component already. From the recursion on, comparisons keep to pairs whose
+   set sizes and places of the region's shingle in their orders allow a link with no earlier shared shingle: a link
+   passes in the region of its first shared shingle.
 
 A comparison first meets a lower bound on the distance, the Hamming distance of two bitmaps that hold each
-set's parity by hash; the sets themselves are read for pairs that pass, and only those of classes in such pairs.
+set's parity by hash (in the last step already inside the region's join, with bitmaps of 256 bits); the sets themselves are read for pairs that pass, and only those of classes in such pairs.
 
 Components are the result, so pairs within a component need no comparison; no possible link between
 two components is skipped. Shingles and classes are known by 64 and 128 bits of hash.
@@ -38,6 +38,7 @@ COMMON = 1 << 17  # shingles (16 bytes each) that the shared order puts last
 COMMON_IN_CHUNK, COMMON_AT_ALL = 3, 12
 REST = 2_000_000  # comparisons left over from which regions are joined recursively once more
 ROUNDS = 4
+SIGNS = ["s0", "s1", "s2", "s3"]  # 64 bits each of a set's parities in 256 bits
 NO_ID = 1 << 62  # classes whose documents have no id are numbered from here
 
 
@@ -115,7 +116,7 @@ def _prefix_pieces(batches, words, common, percent):
 
 def _regions(batches, words, common, percent, maybe):
     """kind 0: (shingle h, class, n, place of h) of prefix shingles that may have more than one class; kind 1: the sets of classes with any."""
-    names = ["kind", "h", "k1", "k2", "n", "at", "parity", "members"]
+    names = ["kind", "h", "k1", "k2", "n", "at", "parity", "members", *SIGNS]
     for _, texts in chunked(batches, "t"):
         s = Sets(texts, words)
         h, doc, place = prefixes(s, s.distinct(), common, percent)
@@ -123,11 +124,12 @@ def _regions(batches, words, common, percent, maybe):
         h, doc, place = h[ok], doc[ok], place[ok]
         if not len(h):
             continue
-        yield pa.record_batch([pa.array(np.zeros(len(h), np.int32)), _signed(h), _signed(s.k1[doc]), _signed(s.k2[doc]), pa.array(s.size[doc]), pa.array(place), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names=names)
+        yield pa.record_batch([pa.array(np.zeros(len(h), np.int32)), _signed(h), _signed(s.k1[doc]), _signed(s.k2[doc]), pa.array(s.size[doc]), pa.array(place), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary()), *(pa.nulls(len(h), pa.int64()) for _ in SIGNS)], names=names)
         own = np.unique(doc)
         blob = [pack_keys(s.values[s.cuts[d] : s.cuts[d + 1]] >> U64(16)) for d in own.tolist()]  # 48 bits tell the shingles of two sets apart
+        signs = signatures(s, own)
         bits = [parity(s.values[s.cuts[d] : s.cuts[d + 1]]) for d in own.tolist()]
-        yield pa.record_batch([pa.array(np.ones(len(own), np.int32)), pa.array(np.zeros(len(own), np.int64)), _signed(s.k1[own]), _signed(s.k2[own]), pa.array(s.size[own]), pa.nulls(len(own), pa.int64()), pa.array(bits, pa.binary()), pa.array(blob, pa.binary())], names=names)
+        yield pa.record_batch([pa.array(np.ones(len(own), np.int32)), pa.array(np.zeros(len(own), np.int64)), _signed(s.k1[own]), _signed(s.k2[own]), pa.array(s.size[own]), pa.nulls(len(own), pa.int64()), pa.array(bits, pa.binary()), pa.array(blob, pa.binary()), *(pa.array(signs[:, k]) for k in range(len(SIGNS)))], names=names)
 
 
 def parity(values: np.ndarray) -> bytes:
@@ -137,6 +139,15 @@ def parity(values: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def signatures(s: Sets, which: np.ndarray) -> np.ndarray:
+    """Parities of the chosen sets in 256 bits, as rows of four integers: their Hamming distance bounds the symmetric difference from below."""
+    width = 64 * len(SIGNS)
+    odd = np.zeros((len(which), width), bool)
+    for k, d in enumerate(which.tolist()):
+        odd[k] = np.bincount((s.values[s.cuts[d] : s.cuts[d + 1]] & U64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """A lower bound on the symmetric difference of two sets, from their parities; the longer one is folded."""
     if len(x) > len(y):
@@ -211,7 +222,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     counts = source.mapInArrow(lambda batches: count_blobs(_prefix_pieces(batches, words, common.value, percent), shards), BLOB_SCHEMA)
     (repeated,) = frequent_keys(counts, (2,), "prefixes")
     maybe = spark.sparkContext.broadcast(build_filter(repeated, shards))
-    found = stored(source.mapInArrow(lambda batches: _regions(batches, words, common.value, percent, maybe.value), "kind int, h long, k1 long, k2 long, n long, at long, parity binary, members binary"), "regions")
+    found = stored(source.mapInArrow(lambda batches: _regions(batches, words, common.value, percent, maybe.value), "kind int, h long, k1 long, k2 long, n long, at long, parity binary, members binary, s0 long, s1 long, s2 long, s3 long"), "regions")
 
     classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.first("k1"), F.lit(1 << 61))).alias("c")), "classes")
     members = found.where("kind = 0").select("h", "k1", "k2", "n", "at").distinct()
@@ -219,15 +230,16 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     regions = stored(members.join(several.select("h"), "h").join(classes, ["k1", "k2"]).select("h", "c", "n", "at"), "members")
     sets = found.where("kind = 1").select("k1", "k2", "members")
     held = regions.select("c").distinct()
-    marks = found.where("kind = 1").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("parity").alias("parity")).join(classes, ["k1", "k2"]).join(held, "c", "left_semi")
+    marks = found.where("kind = 1").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), *(F.first(x).alias(x) for x in SIGNS)).join(classes, ["k1", "k2"]).join(held, "c", "left_semi")
     marks = stored(marks, "marks")
 
+    sized = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
     # Sizes m, n and places i, j of the shingle allow a link of which it is the first shared one: all that is shared comes at or after it.
     close = lambda m, n, i, j: (100 + percent) * F.least(m - i, n - j) >= percent * (m + n)
-    choose = lambda seed: F.min_by(F.struct("c", "n", "at"), F.xxhash64("c", F.lit(seed)))
-    pivots = regions.groupBy("h").agg(choose(0).alias("p")).select("h", F.col("p.c").alias("p"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
+    choose = lambda *seed: F.min_by(F.struct("c", "n", "at"), F.xxhash64("c", *seed))
+    pivots = regions.groupBy("h").agg(choose(F.lit(0)).alias("p")).select("h", F.col("p.c").alias("p"), F.col("p.n").alias("pn"))
     pivots = stored(pivots, "pivots")
-    pairs = regions.join(pivots, "h").where((F.col("c") != F.col("p")) & close(F.col("n"), F.col("pn"), F.col("at"), F.col("pat")))
+    pairs = regions.join(pivots, "h").where((F.col("c") != F.col("p")) & sized(F.col("n"), F.col("pn")))
     tested = _compare(pairs.select(*_pair(F.col("c"), F.col("p"))), marks, sets, percent)
     labels = components(tested.where("linked").select("a", "b"))
     spent = None
@@ -243,8 +255,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
         left = sizes.agg(F.coalesce(F.sum(F.col("u") * F.col("m")), F.lit(0))).first()[0]
         if left <= REST or round_ == ROUNDS:
             break
-        # Recursion: a new pivot for each region from its rest, compared with all of the region but its own component.
-        chosen = stored(rest.groupBy("h").agg(choose(round_).alias("p")).select("h", F.col("p.c").alias("q"), F.col("p.n").alias("qn"), F.col("p.at").alias("qat")), "pivots")
+        # Recursion: a new pivot for each region from its rest, another one in regions of the same classes, compared with all of the region but its own component.
+        chosen = stored(rest.groupBy("h").agg(choose("h", F.lit(round_)).alias("p")).select("h", F.col("p.c").alias("q"), F.col("p.n").alias("qn"), F.col("p.at").alias("qat")), "pivots")
         pairs = named.join(chosen, "h").join(labels.select(F.col("node").alias("q"), F.col("component").alias("qcomp")), "q", "left")
         pairs = pairs.where((F.col("c") != F.col("q")) & (F.col("comp") != F.coalesce("qcomp", "q")) & close(F.col("n"), F.col("qn"), F.col("at"), F.col("qat")))
         more = _compare(pairs.select(*_pair(F.col("c"), F.col("q"))), marks, sets, percent)
@@ -258,12 +270,15 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
             keyed = frame.withColumn("a", F.least("c", "p")).withColumn("b", F.greatest("c", "p"))
             return keyed.join(measured.distinct(), ["a", "b"], "left").drop("a", "b")
 
-        own = at_pivot(rest)
+        signs = marks.select("c", *SIGNS)
+        own = at_pivot(rest).join(signs, "c")
         hot = rest.select("h").distinct()
-        others = at_pivot(state.where("c <> p").join(hot, "h").select("h", "c", "n", "at", "comp", "p"))
-        others = others.select("h", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("at").alias("yat"), F.col("comp").alias("ycomp"), F.col("distance").alias("yd"))
+        others = at_pivot(state.where("c <> p").join(hot, "h").select("h", "c", "n", "at", "comp", "p")).join(signs, "c")
+        others = others.select("h", *(F.col(x).alias("y" + x) for x in SIGNS), F.col("c").alias("y"), F.col("n").alias("ny"), F.col("at").alias("yat"), F.col("comp").alias("ycomp"), F.col("distance").alias("yd"))
         window = F.col("distance").isNull() | F.col("yd").isNull() | (F.abs(F.col("distance") - F.col("yd")) <= (100 - percent) / 100 + 1e-9)
-        pairs = own.join(others, "h").where((F.col("comp") != F.col("ycomp")) & close(F.col("n"), F.col("ny"), F.col("at"), F.col("yat")) & window)
+        differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col("y" + x))) for x in SIGNS), F.lit(0))
+        few = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("ny"))
+        pairs = own.join(others, "h").where(few & (F.col("comp") != F.col("ycomp")) & close(F.col("n"), F.col("ny"), F.col("at"), F.col("yat")) & window)
         tested = tested.union(_compare(pairs.select(*_pair(F.col("c"), F.col("y"))), marks, sets, percent))
         labels = components(tested.where("linked").select("a", "b"))
     named = classes.join(labels, F.col("c") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "c").alias("component"))
