@@ -50,7 +50,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text, n_pieces, piece_ids; a text that decoding doesn't give back is an error."""
-    out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    out = sentencepiece_codec.round_trip(docs)
     text = F.when(F.col("decoded").eqNullSafe(F.col("text")), F.col("text")).otherwise(F.raise_error(F.lit("decoding lost text")))
     return out.select("doc_id", text.alias("text"), F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 

@@ -27,7 +27,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes, pieces, digests of the sampled ids and of the decoded text, and whether decoding gave the text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    out = sentencepiece_codec.round_trip(docs)
     ids = F.array_join("piece_ids", ",")
     return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("piece_ids").isNotNull(), F.size("piece_ids")).cast("long").alias("n_pieces"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 

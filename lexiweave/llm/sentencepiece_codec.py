@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import U64, chunked, mix, prefix_hash, release, span_hash
+from .shared import fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 48
 MARK = "▁"
-CHUNK = 1_200_000
+CHUNK = 400_000
 
 
 class Pieces:
@@ -59,18 +60,47 @@ class Pieces:
         self.weight = weight * alpha
         self.factor = np.exp(self.weight)
         self.per_byte = float(np.exp(-(lowest - 5) * alpha / 2))
-        child: dict[tuple[int, int], int] = {}
-        ends = {}
-        for b, i in usable:
-            node = 0
-            for x in b:
-                node = child.setdefault((node, x), len(child) + 1)
-            ends[node] = i
-        self.child = np.zeros((len(child) + 1, 256), np.int32)
-        for (node, x), to in child.items():
-            self.child[node, x] = to
-        self.piece = np.full(len(child) + 1, -1, np.int32)
-        self.piece[list(ends)] = list(ends.values())
+        self.base, self.check, self.piece = double_array(usable)
+
+
+def double_array(words: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A trie as (base, check, piece): state s goes by byte x to t = base[s] + x where check[t] == s; the root is 0, piece -1 where no word ends."""
+    child: dict[int, dict[int, int]] = {}
+    ends, n = {}, 1
+    for b, i in words:
+        node = 0
+        for x in b:
+            down = child.setdefault(node, {})
+            if x not in down:
+                down[x], n = n, n + 1
+            node = down[x]
+        ends[node] = i
+    taken = bytearray(2 * n + 1024)
+    taken[0] = 1
+    offset, slot = {}, [0] * n
+    least, degree = 1, 0
+    for node in sorted(child, key=lambda k: -len(child[k])):
+        xs = sorted(child[node])
+        if len(xs) != degree:  # the search of every degree starts anew, and never goes back within it
+            least, degree = 1, len(xs)
+        at = least = taken.index(0, least)
+        while at < xs[0] or any(taken[at - xs[0] + x] for x in xs):
+            at = taken.index(0, at + 1)
+            if at + 512 > len(taken):
+                taken.extend(bytes(len(taken)))
+        if degree > 1:
+            least = at
+        offset[node] = at - xs[0]
+        for x in xs:
+            taken[offset[node] + x] = 1
+            slot[child[node][x]] = offset[node] + x
+    size = max(slot) + 257
+    base, check, piece = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+    for node, down in child.items():
+        base[slot[node]] = offset[node]
+        check[[slot[to] for to in down.values()]] = slot[node]
+    piece[[slot[node] for node in ends]] = list(ends.values())
+    return base, check, piece
 
 
 _loaded: dict[tuple, Pieces] = {}
@@ -126,12 +156,11 @@ class Lattice:
         chars = CHAR_BYTES[text]
         covered = np.zeros(len(text) + 4, bool)  # by a piece of one character
         runs = []  # (bytes, places, ids): of each, a node is the end of one edge at most
-        child, wide = p.child.ravel(), text.astype(np.int64)
-        at, state, step = np.arange(len(text)), np.zeros(len(text), np.int64), 0
+        at, state, step = np.arange(len(text)), np.zeros(len(text), np.int32), 0
         while len(at):
-            state = child.take(state * 256 + wide[at + step])
-            ok = np.flatnonzero(state)
-            at, state = at[ok], state[ok].astype(np.int64)
+            to = p.base.take(state) + text[at + step]
+            ok = np.flatnonzero(p.check.take(to) == state)
+            at, state = at[ok], to[ok]
             step += 1
             piece = p.piece.take(state)
             hit = np.flatnonzero(piece >= 0)
@@ -207,16 +236,21 @@ def encode_texts(texts: list[bytes], keys: np.ndarray, p: Pieces, seed: int) ->
     if not n:
         return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     h = span_hash(prefix_hash(buf), start[:-1], start[1:])
-    _, index, unit = np.unique(h, return_index=True, return_inverse=True)
-    size = start[index + 1] - start[index]
-    lattice = Lattice(buf, start[index], size, p)
-    per_text = np.diff(first)
-    text = np.repeat(np.arange(len(texts)), per_text)
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
     number = (np.arange(n) - first[text]).astype(U64)
     key = mix(mix(keys[text] + U64(seed)) + number * U64(0xA24BAED4963EE407))
-    ids, count = sample(lattice, unit, size, key)
-    upto = np.concatenate(([0], np.cumsum(count)))
-    return ids, upto[first]
+    all_ids, all_counts = [], []
+    cuts = np.searchsorted(start, np.arange(0, len(buf), CHUNK)).tolist() + [n]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # so that a long text takes no more at a time than short ones
+        if a == b:
+            continue
+        _, index, unit = np.unique(h[a:b], return_index=True, return_inverse=True)
+        size = start[a + 1 + index] - start[a + index]
+        ids, count = sample(Lattice(buf, start[a + index], size, p), unit, size, key[a:b])
+        all_ids.append(ids)
+        all_counts.append(count)
+    upto = np.concatenate(([0], np.cumsum(np.concatenate(all_counts))))
+    return np.concatenate(all_ids), upto[first]
 
 
 def encode(docs: DataFrame, key_column: str = "doc_id", text: str = "text", ids: str = "piece_ids", model: str = MODEL, alpha: float = 1.0, seed: int = 0) -> DataFrame:
@@ -225,23 +259,28 @@ def encode(docs: DataFrame, key_column: str = "doc_id", text: str = "text", ids:
     Rows with equal key, text and seed get equal segmentations; a null key is a key like any other. Null texts have null
     ids, empty ones none. An existing column of the name is replaced.
     """
-    keep = [c for c in docs.columns if c != ids]
-    hidden = "key"
-    while hidden in keep:
-        hidden = "_" + hidden
-    source = docs.select(*keep, F.xxhash64(key_column).alias(hidden))
+    source, keep = _keyed(docs, key_column, ids)
+    return source.mapInArrow(lambda b: _encoded(b, keep, text, ids, model, alpha, seed), f"{_schema(docs, keep)}, `{ids}` array<int>")
+
+
+def _schema(docs: DataFrame, keep: list[str]) -> str:
+    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+
+def _keyed(docs: DataFrame, key_column: str, *new: str) -> tuple[DataFrame, list[str]]:
+    """docs without the columns `new`, a hash of the key at the end; and the columns kept."""
+    keep = [c for c in docs.columns if c not in new]
+    return docs.select(*keep, F.xxhash64(key_column).alias(fresh("key", docs))), keep
 
-    def run(batches):
-        p = load(model, alpha)
-        for rows, texts in chunked(batches, text, CHUNK):
-            keys = rows.column(rows.num_columns - 1).to_numpy().view(U64)
-            got, offsets = encode_texts([t or b"" for t in texts], keys, p, seed)
-            null = pa.array([t is None for t in texts])
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(got), mask=null)
-            yield pa.record_batch([*rows.columns[:-1], lists], names=[*keep, ids])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{schema}, `{ids}` array<int>")
+def _encoded(batches, keep, text, ids, model, alpha, seed):
+    p = load(model, alpha)
+    for rows, texts in chunked(batches, text, CHUNK):
+        keys = rows.column(rows.num_columns - 1).to_numpy().view(U64)
+        got, offsets = encode_texts([t or b"" for t in texts], keys, p, seed)
+        null = pa.array([t is None for t in texts])
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(got), mask=null)
+        yield pa.record_batch([*rows.columns[:-1], lists], names=[*keep, ids])
 
 
 def piece_bytes(path: str) -> list[bytes]:
@@ -258,21 +297,30 @@ def decode_ids(ids: list[int], pieces: list[bytes]) -> bytes:
     return out[1:] if out[:1] == b" " else out
 
 
+def _decoded(batches, keep, ids, text, model):
+    pieces = piece_bytes(model)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            lists = batch.column(batch.schema.get_field_index(ids))
+            flat, cuts, known = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+            # One row's ids at a time become Python integers.
+            out = [decode_ids(flat[a:b].tolist(), pieces).decode() if ok else None for a, b, ok in zip(cuts[:-1].tolist(), cuts[1:].tolist(), known, strict=True)]
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
+        release()
+
+
 def decode(docs: DataFrame, ids: str = "piece_ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """docs with `text`: the exact text that `ids` encode; null for null."""
     keep = [c for c in docs.columns if c != text]
+    return docs.select(*keep).mapInArrow(lambda b: _decoded(b, keep, ids, text, model), f"{_schema(docs, keep)}, `{text}` string")
+
+
+def round_trip(docs: DataFrame, key_column: str = "doc_id", text: str = "text", ids: str = "piece_ids", decoded: str = "decoded", model: str = MODEL, alpha: float = 1.0, seed: int = 0) -> DataFrame:
+    """decode(encode(docs)) inside one worker instead of two: ids are decoded as they are made, from nothing but themselves."""
+    source, keep = _keyed(docs, key_column, ids, decoded)
 
     def run(batches):
-        pieces = piece_bytes(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                lists = batch.column(batch.schema.get_field_index(ids))
-                flat, cuts, known = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
-                # One row's ids at a time become Python integers.
-                out = [decode_ids(flat[a:b].tolist(), pieces).decode() if ok else None for a, b, ok in zip(cuts[:-1].tolist(), cuts[1:].tolist(), known, strict=True)]
-                yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
-            release()
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep).mapInArrow(run, f"{schema}, `{text}` string")
+        return _decoded(_encoded(batches, keep, text, ids, model, alpha, seed), [*keep, ids], ids, decoded, model)
+
+    return source.mapInArrow(run, f"{_schema(docs, keep)}, `{ids}` array<int>, `{decoded}` string")

@@ -243,6 +243,8 @@ def test_sentencepiece(spark):
     other = {(r["doc_id"], r["text"]): r["piece_ids"] for r in sentencepiece_codec.encode(df, seed=1).collect()}
     assert one == two and one != other
     assert sentencepiece_codec.encode(df.limit(0)).count() == 0
+    whole = {(r["doc_id"], r["text"]): r for r in sentencepiece_codec.round_trip(df).collect()}
+    assert all(r["piece_ids"] == one[k] and r["decoded"] == k[1] for k, r in whole.items()) and len(whole) == len(one)
     assert queries.op3_sentencepiece(spark, SF).where("not lossless").count() == 0
 
 
