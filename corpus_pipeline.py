@@ -18,7 +18,7 @@ from lexiweave.session import reach_workers
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.3
-ORACLE_SQL = None  # the stages aren't SQL; tests hold them against plain restatements
+ORACLE_SQL = None  # the stages aren't SQL; tests hold near-duplicates, repeats and decontamination against plain restatements
 
 
 def _resized(docs: DataFrame, before: DataFrame) -> DataFrame:
