@@ -1,34 +1,31 @@
-"""Language-model scoring with n-gram counts in a log-frequency Bloom filter.
+"""Language-model scoring with exact n-gram counts, looked up by key shard.
 
-Counting covers every training text. Unigram counts are exact and stay in a stored table. Counts of unigrams and
-bigrams seen twice or more are quantised to half-octaves, and an n-gram of level q enters a Bloom filter q times, under
-keys numbered 1 to q; probing 1, 2, ... until a miss gives the level back. The filter (bounded, 32 MB at most) is
-broadcast, and each word's probability interpolates the bigram's relative frequency with the unigram's.
-
-The base score needs exact counts: those of the most frequent words are broadcast (a bounded table), all
-other words of a document are counted per document and joined with the stored table.
+Counting covers every training text. The counts of all unigrams and bigrams stay in a stored table with one row a key
+shard, whose number grows with the input. Documents are scored in blocks of whole texts: a block asks each shard for the
+counts of its distinct n-grams, the shard's task answers in the order asked, and the block's texts meet the answers.
+Nothing is broadcast and no table has a size limit. A word's probability interpolates the bigram's relative frequency
+with the unigram's; the base score is that of the unigrams alone. Words are known by 64-bit hashes, bigrams by 48 bits.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import SPACED, U64, Tokens, chunked, mix, unique_counts
-from .filters import BLOB_SCHEMA, KeyFilter, build_filter, count_blobs, unpack_keys
+from .bytekit import SPACED, U64, Tokens, blobs, chunked, mix, release, unique_counts
+from .filters import BLOB_SCHEMA, KeyFilter, count_blobs, pack_keys, unpack_keys
 from .shared import shards_for, stored
 
 BIGRAM_WEIGHT = 0.4
-LEAST = 2  # counts below don't enter the filter
-LEVELS = 2.0 ** (1 + np.arange(120) / 2)  # level q: count of at least LEVELS[q-1]
-HOT_WORDS = 400_000  # words (16 bytes each) whose counts are broadcast
+LEAST = 2  # smaller counts are scored as 0
 BEGIN, END = mix(np.array([0xB0B0, 0xE0E0], U64))
-HOLD = 1 << 20
+
+# Scoring uses neither of these nor level_key and probe_levels; tests refer to them.
+LEVELS = 2.0 ** (1 + np.arange(120) / 2)
+HOT_WORDS = 400_000
 
 
 def sequences(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,11 +45,12 @@ def sequences(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def unigram_keys(h: np.ndarray) -> np.ndarray:
-    return mix(h + U64(0x51ED27F5))
+    """Odd keys; those of bigrams are even."""
+    return mix(h + U64(0x51ED27F5)) | U64(1)
 
 
 def bigram_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """48-bit keys: what a shuffle must carry halves, and the filter errs far more often."""
+    """48-bit keys, which a shuffle carries in fewer bytes."""
     return mix(before * U64(0x9FB21C651E98DF25) + h) & U64(0xFFFFFFFFFFFF0000)
 
 
@@ -71,46 +69,11 @@ def probe_levels(f: KeyFilter, keys: np.ndarray) -> np.ndarray:
     return level
 
 
-#: The count that a level stands for: the middle of its half-octave; level 0 stands for 0 or 1.
-VALUE = np.concatenate(([0.0], LEVELS * 2**0.25))
-VALUE[1] = 2.0
-
-
 class Model:
-    def __init__(self, total: int, vocabulary: int, texts: int, counts: KeyFilter, words: np.ndarray, word_counts: np.ndarray):
-        self.total, self.vocabulary, self.texts, self.counts, self.words, self.word_counts = total, vocabulary, texts, counts, words, word_counts
-
-    def log10(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after the one before it, from the filter alone."""
-        known, where = np.unique(h, return_inverse=True)
-        unigram = VALUE[probe_levels(self.counts, unigram_keys(known))][where]
-        base = (unigram + 1) / (self.total + self.vocabulary + 1)
-        seen, at = np.unique(before, return_inverse=True)
-        history = np.maximum(VALUE[probe_levels(self.counts, unigram_keys(seen))], 1.0)
-        history[seen == BEGIN] = max(1, self.texts)
-        keys, spot = np.unique(bigram_keys(before, h), return_inverse=True)
-        pair = VALUE[probe_levels(self.counts, keys)][spot]
-        return np.log10(BIGRAM_WEIGHT * np.minimum(1.0, pair / history[at]) + (1 - BIGRAM_WEIGHT) * base)
-
-
-def _unigrams(batches):
-    """(hash, n) of tokens, pre-summed."""
-    keys, counts, held = [], [], 0
-
-    def flush():
-        k, c = unique_counts(np.concatenate(keys), np.concatenate(counts))
-        return pa.record_batch([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "n"])
+    """Totals of the training texts, and the number of key shards that their counts are dealt to."""
 
-    for _, texts in chunked(batches, "t"):
-        k, c = unique_counts(sequences(Tokens([x or b"" for x in texts], SPACED))[0])
-        keys.append(k)
-        counts.append(c)
-        held += len(k)
-        if held > HOLD:
-            yield flush()
-            keys, counts, held = [], [], 0
-    if held:
-        yield flush()
+    def __init__(self, total: int, vocabulary: int, texts: int, shards: int):
+        self.total, self.vocabulary, self.texts, self.shards = total, vocabulary, texts, shards
 
 
 def _ngram_pieces(batches):
@@ -121,87 +84,107 @@ def _ngram_pieces(batches):
         yield unique_counts(bigram_keys(before, h))
 
 
-def _quantise(key, group):
+TOTALS = "shard int, keys binary, counts binary, total long, vocabulary long, texts long"
+
+
+def _totals(key, group):
+    """One row for a shard: its distinct keys, sorted, and their counts, and what its unigrams add up to."""
     keys = np.concatenate([unpack_keys(x) for x in group.column("keys").to_pylist()])
     counts = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()])
     keys, counts = unique_counts(keys, counts.astype(np.int64))
-    keys, counts = keys[counts >= LEAST], counts[counts >= LEAST]
-    level = np.searchsorted(LEVELS, counts, side="right")
-    out = [level_key(keys[level >= q], q) for q in range(1, int(level.max(initial=0)) + 1)]
-    out = np.concatenate(out) if out else keys
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([out.tobytes()], pa.binary()), "n": pa.array([len(out)], pa.int64())})
+    words = (keys & U64(1)) == 1
+    row = [key[0].as_py(), pack_keys(keys), pack_keys(counts.view(U64)), int(counts[words].sum()), int(words.sum()), int(counts[keys == unigram_keys(np.array([END]))[0]].sum())]
+    return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["shard", "keys", "counts", "total", "vocabulary", "texts"])
 
 
 def fit(training: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """(model, exact unigram counts: h, n) of all of training's texts; null texts are empty, each text has one end token."""
-    spark = training.sparkSession
+    """(model, exact counts of unigrams and bigrams: TOTALS) of all of training's texts; null texts are empty, each text has one end token."""
     t = training.select(F.col(text).cast("binary").alias("t"))
-    counts = stored(t.mapInArrow(_unigrams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "unigrams")
-    total, vocabulary, texts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("h") == int(np.int64(END.astype(np.int64))), F.col("n"))), F.lit(0))).first()
     shards = min(shards_for(t), 1 << 16)
-    held = stored(t.mapInArrow(lambda b: count_blobs(_ngram_pieces(b), shards), BLOB_SCHEMA).groupBy("shard").applyInArrow(_quantise, "shard int, keys binary, n long"), "ngrams")
-    octave = F.floor(F.log2("n") * 8).cast("int")
-    least, got = None, 0
-    for k, n in sorted(counts.groupBy(octave.alias("k")).count().collect(), reverse=True):
-        got += n
-        if got > HOT_WORDS:
-            break
-        least = k
-    hot = counts.where(octave >= least).select("h", "n").toArrow() if least is not None else None
-    words, n = (np.empty(0, U64), np.empty(0, np.int64)) if hot is None else (hot.column(0).to_numpy().view(U64), hot.column(1).to_numpy())
-    order = np.argsort(words)
-    return Model(total, vocabulary, texts, build_filter(held, shards), words[order], n[order]), counts.withColumn("hot", octave >= (least if least is not None else 1 << 30))
-
-
-SCORED = "uid long, id {}, held_out boolean, n_tokens long, h long, tf long, known long, base double, score double"
-
-
-def _score(batches, model: Model):
-    part, number = TaskContext.get().partitionId(), 0
-    names = [x.split()[0] for x in SCORED.split(", ")]
-    scale = math.log10(model.total + model.vocabulary + 1)
-    for rows, texts in chunked(batches, "t"):
-        t = Tokens([x or b"" for x in texts], SPACED)
-        h, before, doc = sequences(t)
-        n = len(texts)
-        uid = (part << 40) + number + np.arange(n)
-        number += n
-        words, where = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(model.words, words), max(0, len(model.words) - 1))
-        hot = model.words[at] == words if len(model.words) else np.zeros(len(words), bool)
-        value = np.zeros(len(words))
-        value[hot] = np.log10(model.word_counts[at[hot]] + 1.0)
-        size = np.bincount(doc, minlength=n)
-        base = np.bincount(doc, value[where], n) - size * scale
-        known = np.bincount(doc, hot[where], n).astype(np.int64)
-        score = np.bincount(doc, model.log10(h, before), n)
-        ids, out = rows.column(rows.schema.get_field_index("id")), rows.column(rows.schema.get_field_index("held_out"))
-        own = mix(uid.astype(U64))  # a main row's key is of its own, so that the join spreads them; its tf is 0
-        yield pa.record_batch([pa.array(uid), ids, out, pa.array(size.astype(np.int64)), pa.array(own.view(np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(known), pa.array(base), pa.array(score)], names=names)
-        rare = np.flatnonzero(~hot[where])
-        if len(rare):
-            pair, tf = np.unique(doc[rare] * len(words) + where[rare], return_counts=True)
-            d, w = pair // len(words), pair % len(words)
-            m = len(d)
-            none = pa.nulls(m, pa.float64())
-            yield pa.record_batch([pa.array(uid[d]), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(words[w].view(np.int64)), pa.array(tf.astype(np.int64)), pa.nulls(m, pa.int64()), none, none], names=names)
+    counts = stored(t.mapInArrow(lambda b: count_blobs(_ngram_pieces(b), shards), BLOB_SCHEMA).groupBy("shard").applyInArrow(_totals, TOTALS), "ngrams")
+    return Model(*counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "vocabulary", "texts"))).first(), shards), counts
+
+
+# scoring by blocks
+
+BLOCKS = "block long, shard int, data binary"  # shard -1: the block's rows; else the counts that the shard answers
+_ROWS = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def _blocks(batches):
+    part, number = TaskContext.get().partitionId() << 40, 0
+    for rows, _ in chunked(batches, "t"):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=_ROWS) as out:
+            out.write_batch(rows)
+        yield pa.record_batch([pa.array([part + number], pa.int64()), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "shard", "data"])
+        number += 1
+
+
+def _read(data: bytes):
+    """(rows, token, token before, document) of a block."""
+    rows = pa.ipc.open_stream(data).read_all()
+    return rows, *sequences(Tokens([x or b"" for x in rows.column("t").to_pylist()], SPACED))
+
+
+def _distinct(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A block's distinct keys, sorted, and so in the order of their shards."""
+    return np.unique(np.concatenate([unigram_keys(np.unique(h)), np.unique(bigram_keys(before, h))]))
+
+
+def _ask(batches, shards: int):
+    for batch in batches:
+        for block, data in zip(batch.column(0), batch.column(2), strict=True):
+            _, h, before, _ = _read(data.as_py())
+            asked = list(blobs(_distinct(h, before), shards))
+            yield pa.record_batch([pa.array([block.as_py()] * len(asked), pa.int64()), pa.array([s for s, _ in asked], pa.int32()), pa.array([pack_keys(np.frombuffer(k, U64)) for _, k in asked], pa.binary()), pa.nulls(len(asked), pa.binary())], names=["block", "shard", "keys", "counts"])
+        release()
+
+
+def _answer(key, group):
+    blocks, asked, held = group.column("block").to_pylist(), group.column("keys").to_pylist(), group.column("counts").to_pylist()
+    known = next((i for i, b in enumerate(blocks) if b is None), None)
+    keys, counts = (np.empty(0, U64), np.empty(0, U64)) if known is None else (unpack_keys(asked[known]), unpack_keys(held[known]))
+    out = []
+    for block, k in zip(blocks, asked, strict=True):
+        if block is not None:
+            wanted = unpack_keys(k)
+            n = np.zeros(len(wanted), U64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                n = np.where(keys[at] == wanted, counts[at], U64(0))
+            out.append((block, pack_keys(n)))
+    return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
+
+
+def _score(group, model: Model):
+    parts = dict(zip(group.column("shard").to_pylist(), group.column("data").to_pylist(), strict=True))
+    rows, h, before, doc = _read(parts.pop(-1))
+    n, keys = rows.num_rows, _distinct(h, before)
+    counts = np.concatenate([unpack_keys(parts[s]) for s in sorted(parts)]).astype(np.int64)
+    words, where = np.unique(h, return_inverse=True)
+    word = counts[np.searchsorted(keys, unigram_keys(words))][where]
+    pair, at = np.unique(bigram_keys(before, h), return_inverse=True)
+    pair = counts[np.searchsorted(keys, pair)][at]
+    size = np.bincount(doc, minlength=n)
+    scale = model.total + model.vocabulary + 1
+    base = np.bincount(doc, np.log10(word + 1.0), n) - size * np.log10(scale)
+    unigram, pair = np.where(word >= LEAST, word, 0), np.where(pair >= LEAST, pair, 0)
+    history = np.maximum(np.concatenate(([0], unigram[:-1])), 1)
+    history[before == BEGIN] = max(1, model.texts)
+    score = np.bincount(doc, np.log10(BIGRAM_WEIGHT * np.minimum(1.0, pair / history) + (1 - BIGRAM_WEIGHT) * (unigram + 1) / scale), n)
+    return pa.table([*(rows.column(c).combine_chunks() for c in ("id", "held_out")), pa.array(size.astype(np.int64)), pa.array(np.bincount(doc, word > 0, n).astype(np.int64)), pa.array(np.full(n, model.total, np.int64)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs, which has held_out (boolean)."""
-    kind = docs.schema[id_column].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_column).alias("id"), "held_out", F.col(text).cast("binary").alias("t")).mapInArrow(lambda b: _score(b, shared.value), SCORED.format(kind))
-    exact = counts.where("not hot").select(F.col("h").alias("g"), F.col("n").alias("c"))
-    joined = rows.join(exact, F.col("h") == F.col("g"), "left")
-    tf = F.col("tf")
-    total = joined.groupBy("uid").agg(
-        F.max("id").alias(id_column), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.coalesce(F.sum("known"), F.lit(0)) + F.sum(F.when(F.col("c").isNotNull(), tf).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(F.when(F.col("c").isNotNull(), tf * F.log10(F.col("c") + 1.0)).otherwise(0.0))).alias("base_score"),
-        F.sum("score").alias("score"),
-    )
-    return total.select(id_column, "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    kind, shards = docs.schema[id_column].dataType.simpleString(), model.shards
+    blocks = stored(docs.select(F.col(id_column).alias("id"), "held_out", F.col(text).cast("binary").alias("t")).mapInArrow(_blocks, BLOCKS), "blocks")
+    asked = blocks.mapInArrow(lambda b: _ask(b, shards), "block long, shard int, keys binary, counts binary")
+    known = counts.select(F.lit(None).cast("long").alias("block"), "shard", "keys", "counts")
+    answers = asked.unionByName(known).groupBy("shard").applyInArrow(_answer, BLOCKS)
+    scored = blocks.unionByName(answers).groupBy("block").applyInArrow(lambda g: _score(g, model), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumnRenamed("id", id_column)
 
 
 __all__ = ["Model", "fit", "probe_levels", "score", "sequences"]

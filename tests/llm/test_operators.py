@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -200,6 +202,41 @@ def test_language_model_predicts_held_out_text_better_than_the_base(spark):
     assert r[0] > r[1]
 
 
+def test_language_model_counts_are_exact_at_any_size(spark, monkeypatch):
+    """Scores equal those of plain counts, also where a filter of few bits would answer `maybe` to most of them."""
+    from lexiweave.llm import filters
+
+    monkeypatch.setattr(filters, "MAX_BITS", 1 << 13)
+    monkeypatch.setattr(filters.build_filter, "__defaults__", (1 << 13,))
+    rng = random.Random(9)
+    texts = [(k, " ".join(rng.choice("abcdefgh") + str(int(rng.paretovariate(0.7)) % 900) for _ in range(rng.randint(0, 120)))) for k in range(300)]
+    docs = frame(spark, texts, extra=False).withColumn("held_out", F.col("doc_id") % 5 == 0)
+    model, counts = ngram_lm.fit(docs.where("not held_out"))
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, model, counts).collect()}
+    want = brute_scores([t for k, t in texts if k % 5], dict(texts))
+    assert got.keys() == want.keys()
+    assert np.allclose([got[k] for k in want], list(want.values()))
+
+
+def brute_scores(training, texts, least=ngram_lm.LEAST):
+    """Interpolated scores from counts in dictionaries; counts below `least` are taken for 0."""
+    words, pairs = Counter(), Counter()
+    for t in training:
+        tokens = [*t.split(), "</s>"]
+        words.update(tokens)
+        pairs.update(zip(["<s>", *tokens], tokens, strict=False))
+    scale = sum(words.values()) + len(words) + 1
+    n = lambda c, k: c[k] if c[k] >= least else 0
+    out = {}
+    for k, t in texts.items():
+        tokens = [*t.split(), "</s>"]
+        out[k] = 0.0
+        for a, b in zip(["<s>", *tokens], tokens, strict=False):
+            history = len(training) if a == "<s>" else max(1, n(words, a))
+            out[k] += math.log10(0.4 * min(1.0, n(pairs, (a, b)) / history) + 0.6 * (n(words, b) + 1) / scale)
+    return out
+
+
 def test_levels():
     keys = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     from lexiweave.llm.filters import KeyFilter, segment
