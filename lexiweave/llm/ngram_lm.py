@@ -20,7 +20,6 @@ from .filters import BLOB_SCHEMA, KeyFilter, count_blobs, pack_keys, unpack_keys
 from .shared import shards_for, stored
 
 BIGRAM_WEIGHT = 0.4
-LEAST = 2  # smaller counts are scored as 0
 BEGIN, END = mix(np.array([0xB0B0, 0xE0E0], U64))
 
 # Scoring uses neither of these nor level_key and probe_levels; tests refer to them.
@@ -169,10 +168,9 @@ def _score(group, model: Model):
     size = np.bincount(doc, minlength=n)
     scale = model.total + model.vocabulary + 1
     base = np.bincount(doc, np.log10(word + 1.0), n) - size * np.log10(scale)
-    unigram, pair = np.where(word >= LEAST, word, 0), np.where(pair >= LEAST, pair, 0)
-    history = np.maximum(np.concatenate(([0], unigram[:-1])), 1)
+    history = np.maximum(np.concatenate(([0], word[:-1])), 1)
     history[before == BEGIN] = max(1, model.texts)
-    score = np.bincount(doc, np.log10(BIGRAM_WEIGHT * np.minimum(1.0, pair / history) + (1 - BIGRAM_WEIGHT) * (unigram + 1) / scale), n)
+    score = np.bincount(doc, np.log10(BIGRAM_WEIGHT * np.minimum(1.0, pair / history) + (1 - BIGRAM_WEIGHT) * (word + 1) / scale), n)
     return pa.table([*(rows.column(c).combine_chunks() for c in ("id", "held_out")), pa.array(size.astype(np.int64)), pa.array(np.bincount(doc, word > 0, n).astype(np.int64)), pa.array(np.full(n, model.total, np.int64)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 

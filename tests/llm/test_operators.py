@@ -218,22 +218,31 @@ def test_language_model_counts_are_exact_at_any_size(spark, monkeypatch):
     assert np.allclose([got[k] for k in want], list(want.values()))
 
 
-def brute_scores(training, texts, least=ngram_lm.LEAST):
-    """Interpolated scores from counts in dictionaries; counts below `least` are taken for 0."""
+def test_language_model_counts_what_was_seen_once(spark):
+    texts = [(1, "twice here twice here"), (2, "once upon"), (3, "once upon"), (4, "never heard")]
+    docs = frame(spark, texts, extra=False).withColumn("held_out", F.col("doc_id") > 2)
+    model, counts = ngram_lm.fit(docs.where("not held_out"))
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, model, counts).collect()}
+    want = brute_scores([t for k, t in texts if k <= 2], dict(texts))
+    assert np.allclose([got[k] for k in want], list(want.values()))
+    assert got[3] > got[4]
+
+
+def brute_scores(training, texts):
+    """Interpolated scores from counts in dictionaries."""
     words, pairs = Counter(), Counter()
     for t in training:
         tokens = [*t.split(), "</s>"]
         words.update(tokens)
         pairs.update(zip(["<s>", *tokens], tokens, strict=False))
     scale = sum(words.values()) + len(words) + 1
-    n = lambda c, k: c[k] if c[k] >= least else 0
     out = {}
     for k, t in texts.items():
         tokens = [*t.split(), "</s>"]
         out[k] = 0.0
         for a, b in zip(["<s>", *tokens], tokens, strict=False):
-            history = len(training) if a == "<s>" else max(1, n(words, a))
-            out[k] += math.log10(0.4 * min(1.0, n(pairs, (a, b)) / history) + 0.6 * (n(words, b) + 1) / scale)
+            history = len(training) if a == "<s>" else max(1, words[a])
+            out[k] += math.log10(0.4 * min(1.0, pairs[a, b] / history) + 0.6 * (words[b] + 1) / scale)
     return out
 
 
