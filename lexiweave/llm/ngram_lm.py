@@ -1,8 +1,9 @@
 """Language-model scoring with exact n-gram counts, looked up by key shard.
 
-Counting covers every training text. The counts of all unigrams and bigrams stay in a stored table with one row a key
-shard, whose number grows with the input. Documents are scored in blocks of whole texts: a block asks each shard for the
-counts of its distinct n-grams, the shard's task answers in the order asked, and the block's texts meet the answers.
+Counting covers every training text, all its unigrams and bigrams. N-grams are dealt to key shards, whose number grows
+with the input. Documents are scored in blocks of whole texts: a block asks each shard for the counts of its distinct
+n-grams, the shard's task answers in the order asked, and the block's texts meet the answers. `score_held_out` counts from
+the same requests, which carry the block's own training counts; `fit` and `score` take texts of two tables.
 Nothing is broadcast and no table has a size limit. A word's probability interpolates the bigram's relative frequency
 with the unigram's; the base score is that of the unigrams alone. Words are known by 64-bit hashes, bigrams by 48 bits.
 """
@@ -92,7 +93,7 @@ def _totals(key, group):
     counts = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()])
     keys, counts = unique_counts(keys, counts.astype(np.int64))
     words = (keys & U64(1)) == 1
-    row = [key[0].as_py(), pack_keys(keys), pack_keys(counts.view(U64)), int(counts[words].sum()), int(words.sum()), int(counts[keys == unigram_keys(np.array([END]))[0]].sum())]
+    row = [key[0].as_py(), pack_sorted(keys), _zip(pack_keys(counts.view(U64))), int(counts[words].sum()), int(words.sum()), int(counts[keys == unigram_keys(np.array([END]))[0]].sum())]
     return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["shard", "keys", "counts", "total", "vocabulary", "texts"])
 
 
@@ -131,28 +132,65 @@ def _distinct(h: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([unigram_keys(np.unique(h)), np.unique(bigram_keys(before, h))]))
 
 
-def _ask(batches, shards: int):
+def _zip(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unzip(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted keys as gaps, those of bigrams and of unigrams apart."""
+    odd = (keys & U64(1)) == 1
+    pairs, words = keys[~odd] >> U64(16), keys[odd]
+    return len(pairs).to_bytes(8, "little") + _zip(pack_keys(np.diff(pairs, prepend=U64(0))) + pack_keys(np.diff(words, prepend=U64(0))))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    cut, raw = 8 * int.from_bytes(data[:8], "little"), _unzip(data[8:])
+    pairs, words = np.cumsum(unpack_keys(raw[:cut]), dtype=U64), np.cumsum(unpack_keys(raw[cut:]), dtype=U64)
+    return np.sort(np.concatenate([pairs << U64(16), words]))
+
+
+ASKED = "block long, shard int, keys binary, counts binary"  # block null: only counts; counts null: none
+
+
+def _ask(batches, shards: int, train: bool):
+    """A block's keys by shard, with their counts in its rows that aren't held out if `train`."""
     for batch in batches:
         for block, data in zip(batch.column(0), batch.column(2), strict=True):
-            _, h, before, _ = _read(data.as_py())
-            asked = list(blobs(_distinct(h, before), shards))
-            yield pa.record_batch([pa.array([block.as_py()] * len(asked), pa.int64()), pa.array([s for s, _ in asked], pa.int32()), pa.array([pack_keys(np.frombuffer(k, U64)) for _, k in asked], pa.binary()), pa.nulls(len(asked), pa.binary())], names=["block", "shard", "keys", "counts"])
+            rows, h, before, doc = _read(data.as_py())
+            keys = _distinct(h, before)
+            n = np.zeros(len(keys), U64)
+            if train:
+                own = np.array([x is False for x in rows.column("held_out").to_pylist()])[doc]
+                for k in (unigram_keys(h[own]), bigram_keys(before[own], h[own])):
+                    k, c = unique_counts(k)
+                    n[np.searchsorted(keys, k)] = c
+            asked = list(blobs(keys, shards, n))
+            counts = [_zip(pack_keys(np.frombuffer(c, U64))) if train else None for *_, c in asked]
+            yield pa.record_batch([pa.array([block.as_py()] * len(asked), pa.int64()), pa.array([s for s, *_ in asked], pa.int32()), pa.array([pack_sorted(np.frombuffer(k, U64)) for _, k, _ in asked], pa.binary()), pa.array(counts, pa.binary())], names=["block", "shard", "keys", "counts"])
         release()
 
 
 def _answer(key, group):
-    blocks, asked, held = group.column("block").to_pylist(), group.column("keys").to_pylist(), group.column("counts").to_pylist()
-    known = next((i for i, b in enumerate(blocks) if b is None), None)
-    keys, counts = (np.empty(0, U64), np.empty(0, U64)) if known is None else (unpack_keys(asked[known]), unpack_keys(held[known]))
-    out = []
-    for block, k in zip(blocks, asked, strict=True):
+    """Of each block that asks, the summed counts of its keys; and, with block null, the shard's Model totals."""
+    blocks, asked, held = group.column("block").to_pylist(), [unpack_sorted(k) for k in group.column("keys").to_pylist()], group.column("counts").to_pylist()
+    own = [(k, unpack_keys(_unzip(c)).astype(np.int64)) for k, c in zip(asked, held, strict=True) if c is not None]
+    keys, counts = np.empty(0, U64), np.empty(0, np.int64)
+    if own:
+        keys, counts = unique_counts(np.concatenate([k[c > 0] for k, c in own]), np.concatenate([c[c > 0] for _, c in own]))
+    words = (keys & U64(1)) == 1
+    totals = [counts[words].sum(), words.sum(), counts[keys == unigram_keys(np.array([END]))[0]].sum()]
+    out = [(None, np.array(totals, np.int64).tobytes())]
+    for block, wanted in zip(blocks, asked, strict=True):
         if block is not None:
-            wanted = unpack_keys(k)
-            n = np.zeros(len(wanted), U64)
+            n = np.zeros(len(wanted), np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                n = np.where(keys[at] == wanted, counts[at], U64(0))
-            out.append((block, pack_keys(n)))
+                n = np.where(keys[at] == wanted, counts[at], 0)
+            out.append((block, _zip(pack_keys(n.view(U64)))))
     return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
 
@@ -160,7 +198,7 @@ def _score(group, model: Model):
     parts = dict(zip(group.column("shard").to_pylist(), group.column("data").to_pylist(), strict=True))
     rows, h, before, doc = _read(parts.pop(-1))
     n, keys = rows.num_rows, _distinct(h, before)
-    counts = np.concatenate([unpack_keys(parts[s]) for s in sorted(parts)]).astype(np.int64)
+    counts = np.concatenate([unpack_keys(_unzip(parts[s])) for s in sorted(parts)]).astype(np.int64)
     words, where = np.unique(h, return_inverse=True)
     word = counts[np.searchsorted(keys, unigram_keys(words))][where]
     pair, at = np.unique(bigram_keys(before, h), return_inverse=True)
@@ -174,15 +212,30 @@ def _score(group, model: Model):
     return pa.table([*(rows.column(c).combine_chunks() for c in ("id", "held_out")), pa.array(size.astype(np.int64)), pa.array(np.bincount(doc, word > 0, n).astype(np.int64)), pa.array(np.full(n, model.total, np.int64)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
+def _cut(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    return stored(docs.select(F.col(id_column).alias("id"), "held_out", F.col(text).cast("binary").alias("t")).mapInArrow(_blocks, BLOCKS), "blocks")
+
+
+def _scored(docs: DataFrame, blocks: DataFrame, answers: DataFrame, model: Model, id_column: str) -> DataFrame:
+    kind = docs.schema[id_column].dataType.simpleString()
+    scored = blocks.unionByName(answers.where("block is not null")).groupBy("block").applyInArrow(lambda g: _score(g, model), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumnRenamed("id", id_column)
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs, which has held_out (boolean)."""
-    kind, shards = docs.schema[id_column].dataType.simpleString(), model.shards
-    blocks = stored(docs.select(F.col(id_column).alias("id"), "held_out", F.col(text).cast("binary").alias("t")).mapInArrow(_blocks, BLOCKS), "blocks")
-    asked = blocks.mapInArrow(lambda b: _ask(b, shards), "block long, shard int, keys binary, counts binary")
+    blocks, shards = _cut(docs, id_column, text), model.shards
     known = counts.select(F.lit(None).cast("long").alias("block"), "shard", "keys", "counts")
-    answers = asked.unionByName(known).groupBy("shard").applyInArrow(_answer, BLOCKS)
-    scored = blocks.unionByName(answers).groupBy("block").applyInArrow(lambda g: _score(g, model), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumnRenamed("id", id_column)
+    asked = blocks.mapInArrow(lambda b: _ask(b, shards, False), ASKED).unionByName(known)
+    return _scored(docs, blocks, asked.groupBy("shard").applyInArrow(_answer, BLOCKS), model, id_column)
+
+
+def score_held_out(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """As `fit` on the rows of docs that aren't held out and `score` of all, with one pass over keys for both."""
+    blocks, shards = _cut(docs, id_column, text), min(shards_for(docs), 1 << 16)
+    answers = stored(blocks.mapInArrow(lambda b: _ask(b, shards, True), ASKED).groupBy("shard").applyInArrow(_answer, BLOCKS), "answers")
+    totals = sum((np.frombuffer(r["data"], np.int64) for r in answers.where("block is null").select("data").collect()), np.zeros(3, np.int64))
+    return _scored(docs, blocks, answers, Model(*map(int, totals), shards), id_column)
 
 
-__all__ = ["Model", "fit", "probe_levels", "score", "sequences"]
+__all__ = ["Model", "fit", "probe_levels", "score", "score_held_out", "sequences"]
