@@ -1,14 +1,16 @@
 """Vectorised byte-level kernels shared by the text operators.
 
 Every kernel works on a *chunk*: a few megabytes of whole texts laid end to end in
-one numpy buffer. Token and n-gram identities are 64-bit hashes, computed from
-prefix sums, so that no Python object is made per token.
+one numpy buffer. Token and n-gram identities are 64-bit hashes, computed without
+a Python object for each token. Tokens are laid out in blocks, so that a very long
+text costs a few bytes a byte.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,11 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_FOLDED = _BYTE.copy()
-_FOLDED[0x41:0x5B] = _FOLDED[0x61:0x7B]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+LONG_TOKEN = 512  # bytes from which a token is hashed by itself
+TOKEN_BLOCK = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -54,11 +59,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(buf: np.ndarray, fold: bool = False) -> np.ndarray:
-    """S with S[j]-S[i] = sum of byte values times powers of the base over buf[i:j]."""
+def prefix_hash(buf: np.ndarray) -> np.ndarray:
+    """S with S[j]-S[i] = sum of byte values times powers of the base over buf[i:j]. Some strings of 1,024 bytes and more collide: for choosing places, not for equality."""
     s = np.empty(len(buf) + 1, U64)
     s[0] = 0
-    v = (_FOLDED if fold else _BYTE)[buf]
+    v = _BYTE[buf]
     v *= powers(len(buf))[0]
     np.cumsum(v, out=s[1:])
     return s
@@ -72,15 +77,40 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def token_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of buf[start:end]: eight bytes a step, each mixed with all before, so that no arithmetic relation between strings survives; long tokens by BLAKE2."""
+    size = end - start
+    words = np.ndarray(len(buf) + 1, "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))
+    h = mix((size.astype(U64) + U64(1)) * U64(0xD6E8FEB86659FD93))
+    h = mix(h ^ (words[start] & _TAIL[np.minimum(size, 8)]))
+    at, k = np.flatnonzero((size > 8) & (size < LONG_TOKEN)), 8
+    while len(at):
+        h[at] = mix(h[at] ^ (words[start[at] + k] & _TAIL[np.minimum(size[at] - k, 8)]))
+        k += 8
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size >= LONG_TOKEN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
 class Tokens:
-    """Tokens of a chunk: byte starts and ends in `buf`, hashes, and for document d its tokens bounds[d]:bounds[d+1]."""
+    """Tokens of a chunk: byte starts and ends in `buf`, hashes (A-Z as a-z), and for document d its tokens bounds[d]:bounds[d+1]."""
 
-    def __init__(self, texts: list[bytes], word: np.ndarray):
+    def __init__(self, texts: list[bytes], word: np.ndarray, block: int = TOKEN_BLOCK):
         self.buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
-        inside = word[self.buf]
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        self.start, self.end = edges[0::2], edges[1::2]
-        self.hash = span_hash(prefix_hash(self.buf, fold=True), self.start, self.end)
+        n, lo, parts = len(self.buf), 0, []
+        while lo < n - 1:  # a block begins and ends at a byte outside words
+            hi = min(lo + block, n - 1)
+            while word[self.buf[hi]]:
+                ahead = np.flatnonzero(~word[self.buf[hi : hi + block]])
+                hi = min(hi + (int(ahead[0]) if len(ahead) else block), n - 1)
+            piece = _FOLD[self.buf[lo : hi + 1]]
+            inside = word[piece]
+            edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+            start, end = edges[0::2], edges[1::2]
+            parts.append((start + lo, end + lo, token_hash(piece, start, end)))
+            lo = hi
+        self.start, self.end, self.hash = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.at = np.concatenate(([1], 1 + np.cumsum(size + 1)))  # where texts start; one past the end for the last
         self.bounds = np.searchsorted(self.start, self.at)
@@ -146,3 +176,21 @@ def unique_counts(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[n
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[at], np.add.reduceat(counts, at)
+
+
+def grouped(batches):
+    """(key, table of its rows) for batches sorted by their first column; a key's rows may span batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and key[a] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key[a]
+    if held:
+        yield last, pa.Table.from_batches(held)

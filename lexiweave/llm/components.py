@@ -1,7 +1,7 @@
 """Connected components of links held in a DataFrame, without gathering them anywhere.
 
-Each round contracts the links inside every partition with a union-find, then runs a
-large-star and a small-star step. Minima are taken by partial aggregation and brought
+Links are contracted inside every partition with a union-find. While more are left than one task may
+hold, a round runs a large-star and a small-star step. Minima are taken by partial aggregation and brought
 back by an equi-join, so a node with very many links is never gathered into one row.
 """
 
@@ -51,16 +51,31 @@ def _contract(batches):
         yield pa.record_batch([pa.array(a), pa.array(b)], names=["u", "v"])
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
+FINISH = 1 << 21  # contracted links (32 MB) that one task joins at once
+
+
+def _finish(batches):
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if got:
+        node, low = forest(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        top = np.unique(low)
+        yield pa.record_batch([pa.array(np.concatenate((node, top))), pa.array(np.concatenate((low, top)))], names=["node", "component"])
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (two bigint columns without nulls): the smallest node it reaches.
 
-    Nodes without links don't appear. The result is stored in the shared folder.
+    Nodes without links don't appear; an empty table gives an empty one. The result is stored in the shared folder.
+    Rounds go on until at most FINISH links are left, which one task joins, or until nothing changes.
     """
     edges = links.toDF("u", "v").where("u <> v").mapInArrow(_contract, "u long, v long")
     edges, before = stored(edges, "links"), None
-    for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before or not state[0]:
+    while True:
+        count = edges.count()
+        if count <= FINISH:
+            return stored(edges.coalesce(1).mapInArrow(_finish, "node long, component long"), "components")
+        state = count, edges.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]
+        if state == before:
             break
         before = state
         both = edges.union(edges.select("v", "u"))
@@ -70,4 +85,4 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         small = large.join(down.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = stored(small.select("e.u", "e.v").where("u <> v").distinct().mapInArrow(_contract, "u long, v long").distinct(), "links")
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+    return stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops), "components")

@@ -1,23 +1,21 @@
 """N-gram Jaccard join: which documents' shingle sets have a Jaccard similarity of 0.8 or more.
 
-Equal sets are one *class*. Jaccard distance is a metric, and the join divides it twice:
-
-1. Shingles are the outer pivots. Every class orders its shingles the same way, rarest first, and is
-   replicated to the regions of its first n - ceil(0.8 n) + 1 shingles: two sets that close share one of these.
-   Regions of one class are dropped by a bounded filter before any row is made for them.
-2. Inside a region one class, chosen by a hash, is the pivot, and all others measure their distance to it. Who is
-   within 0.2 is linked. Classes that linking has not brought into the pivot's component are the rest: while the rest of
-   the regions is large, it is joined recursively with new pivots, each compared with its whole region. In the end
-   what is left is compared with its region where the triangle inequality on the distances to the pivot
-   allows a link, and where both aren't in one component already. From the recursion on, comparisons keep to pairs whose
-   set sizes and places of the region's shingle in their orders allow a link with no earlier shared shingle: a link
-   passes in the region of its first shared shingle.
-
-A comparison first meets a lower bound on the distance, the Hamming distance of two bitmaps that hold each
-set's parity by hash (in the last step already inside the region's join, with bitmaps of 256 bits); the sets themselves are read for pairs that pass, and only those of classes in such pairs.
-
-Components are the result, so pairs within a component need no comparison; no possible link between
-two components is skipped. Shingles and classes are known by 64 and 128 bits of hash.
+Equal sets are one *class*. Random documents are all at distance 1 from each other, where pivots can't tell them apart;
+so the join has an outer and an inner division.
+
+1. Which classes could be linked at all. Every class orders its shingles the same way, rarest first, and goes to the regions
+   of its first n - ceil(0.8 n) + 1 shingles: two sets that close share one of these. In a region, pairs stay
+   whose set sizes, places of the shingle in their orders and 256-bit parity bitmaps (Hamming distance bounds the
+   symmetric difference from below) allow a link. Regions of HOT classes and more aren't gathered: all of their
+   classes count as pairs with the region itself. Components of these pairs are the *candidate groups*.
+2. Within a candidate group the sets themselves are joined by distance. Pivots create Voronoi regions: a class
+   belongs to its nearest pivot p and is replicated to every pivot q with d(x, q) - d(x, p) <= 0.4, since by the triangle
+   inequality a partner within 0.2 may belong there. Regions are joined recursively, until few members are left, which are
+   compared outright. Members that are known to be in one component need no comparison. A group above GROUP
+   shingles is divided the same way by rows of a table, with pivots of each region joined to its members; a
+   region that division can't shrink is compared block by block.
+
+Components are the result. Shingles are known by 64 bits of hash, sets by 128.
 """
 
 from __future__ import annotations
@@ -27,19 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import SPACED, U64, Tokens, chunked, mix, ngrams, unique_counts
-from .components import components
-from .filters import BLOB_SCHEMA, build_filter, count_blobs, frequent_keys, pack_keys, unpack_keys
+from .bytekit import SPACED, U64, Tokens, chunked, grouped, mix, ngrams, unique_counts
+from .components import components, forest
+from .filters import BLOB_SCHEMA, build_filter, count_blobs, frequent_keys
 from .shared import shards_for, stored
 
 WORDS = 5
 PERCENT = 80  # similarity
 COMMON = 1 << 17  # shingles (16 bytes each) that the shared order puts last
 COMMON_IN_CHUNK, COMMON_AT_ALL = 3, 12
-REST = 2_000_000  # comparisons left over from which regions are joined recursively once more
-ROUNDS = 4
+HOT = 4_096  # classes from which a region isn't gathered
+PAIRS = 1 << 18  # pairs of a region that are looked at together
+MANY = 64  # classes from which a region is joined class by class
+GROUP = 1 << 22  # shingles (32 MB) of a candidate group that one task joins
+LEAF, PIVOTS = 12, 6  # members compared outright, and pivots of a Voronoi division
+ROUNDS = 6  # divisions of a group above GROUP before its regions are compared in blocks
+SEEN = 1 << 18  # classes of a task that aren't sent twice
 SIGNS = ["s0", "s1", "s2", "s3"]  # 64 bits each of a set's parities in 256 bits
-NO_ID = 1 << 62  # classes whose documents have no id are numbered from here
 
 
 class Sets:
@@ -114,29 +116,7 @@ def _prefix_pieces(batches, words, common, percent):
         yield prefixes(s, s.distinct(), common, percent)[0]
 
 
-def _regions(batches, words, common, percent, maybe):
-    """kind 0: (shingle h, class, n, place of h) of prefix shingles that may have more than one class; kind 1: the sets of classes with any."""
-    names = ["kind", "h", "k1", "k2", "n", "at", "parity", "members", *SIGNS]
-    for _, texts in chunked(batches, "t"):
-        s = Sets(texts, words)
-        h, doc, place = prefixes(s, s.distinct(), common, percent)
-        ok = maybe.has(h)
-        h, doc, place = h[ok], doc[ok], place[ok]
-        if not len(h):
-            continue
-        yield pa.record_batch([pa.array(np.zeros(len(h), np.int32)), _signed(h), _signed(s.k1[doc]), _signed(s.k2[doc]), pa.array(s.size[doc]), pa.array(place), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary()), *(pa.nulls(len(h), pa.int64()) for _ in SIGNS)], names=names)
-        own = np.unique(doc)
-        blob = [pack_keys(s.values[s.cuts[d] : s.cuts[d + 1]] >> U64(16)) for d in own.tolist()]  # 48 bits tell the shingles of two sets apart
-        signs = signatures(s, own)
-        bits = [parity(s.values[s.cuts[d] : s.cuts[d + 1]]) for d in own.tolist()]
-        yield pa.record_batch([pa.array(np.ones(len(own), np.int32)), pa.array(np.zeros(len(own), np.int64)), _signed(s.k1[own]), _signed(s.k2[own]), pa.array(s.size[own]), pa.nulls(len(own), pa.int64()), pa.array(bits, pa.binary()), pa.array(blob, pa.binary()), *(pa.array(signs[:, k]) for k in range(len(SIGNS)))], names=names)
-
-
-def parity(values: np.ndarray) -> bytes:
-    """How often each low part of a hash occurs, odd or even, in n to 2n bits (64 at least)."""
-    size = max(64, 1 << len(values).bit_length())
-    odd = np.bincount((values & U64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+# candidate groups
 
 
 def signatures(s: Sets, which: np.ndarray) -> np.ndarray:
@@ -148,59 +128,283 @@ def signatures(s: Sets, which: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
-def least_difference(x: bytes, y: bytes) -> int:
-    """A lower bound on the symmetric difference of two sets, from their parities; the longer one is folded."""
-    if len(x) > len(y):
-        x, y = y, x
-    v, bits = int.from_bytes(y, "little"), 8 * len(y)
-    while bits > 8 * len(x):
-        bits //= 2
-        v = (v >> bits) ^ (v & ((1 << bits) - 1))
-    return (v ^ int.from_bytes(x, "little")).bit_count()
+REGIONS = "h long, node long, n int, at int, s0 long, s1 long, s2 long, s3 long"  # at -1: node belongs to the hot region s0
 
 
-def _passing(batches, percent):
-    """The rows whose parities (the last four columns: na, pa, nb, pb) allow a link, without these."""
+def _regions(batches, words, common, percent, maybe, hot):
+    """REGIONS rows for prefix shingles that may have more than one class."""
+    names = [x.split()[0] for x in REGIONS.split(", ")]
+    for _, texts in chunked(batches, "t"):
+        s = Sets(texts, words)
+        h, doc, place = prefixes(s, s.distinct(), common, percent)
+        ok = maybe.has(h)
+        h, doc, place = h[ok], doc[ok], place[ok]
+        if not len(h):
+            continue
+        many = hot.has(h)
+        own, where = np.unique(doc, return_inverse=True)
+        signs = signatures(s, own)[where]
+        signs[many, 0] = mix(h[many] ^ U64(0x452821E638D01377)).view(np.int64)
+        h = np.where(many, s.k2[doc], h)  # rows of hot regions meet nowhere
+        yield pa.record_batch([_signed(h), _signed(s.k1[doc]), pa.array(s.size[doc].astype(np.int32)), pa.array(np.where(many, -1, place).astype(np.int32)), *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(len(SIGNS)))], names=names)
+
+
+def allowed(n, at, signs, i, j, percent: int) -> np.ndarray:
+    """Whether sizes, places of the region's shingle and parities allow rows i and j a link whose first shared shingle it is."""
+    m, o = n[i], n[j]
+    ok = (100 * np.minimum(m, o) >= percent * np.maximum(m, o)) & ((100 + percent) * np.minimum(m - at[i], o - at[j]) >= percent * (m + o))
+    if np.ndim(i):
+        i, m = i[ok], m[ok]
+    j, o = j[ok], o[ok]
+    differ = np.bitwise_count(signs[i] ^ signs[j]).sum(axis=1, dtype=np.int64)
+    ok[ok] = (100 + percent) * differ <= (100 - percent) * (m + o)
+    return ok
+
+
+def _candidates(batches, percent):
+    """(u, v) links between classes that a region allows, contracted, for REGIONS rows sorted by h and node."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def keep(u, v):
+        nonlocal held, size
+        held.append((u, v))
+        size += len(u)
+        if size > 1 << 20:
+            held = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            size = len(held[0][0])
+
+    def small(h, node, n, at, signs, stop):
+        """Rows up to `stop`: the end of their region."""
+        count = stop - np.arange(len(h)) - 1
+        ends = np.cumsum(count)
+        lo = 0
+        while lo < len(h):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            own = count[lo:hi]
+            i = np.repeat(np.arange(lo, hi), own)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+            ok = allowed(n, at, signs, i, j, percent)
+            if ok.any():
+                keep(node[i[ok]], node[j[ok]])
+            lo = hi
+
+    def large(node, n, at, signs):
+        label = np.arange(len(node))
+        for i in range(len(node) - 1):
+            j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            j = j[allowed(n, at, signs, i, j, percent)]
+            if len(j):
+                keep(np.full(len(j), node[i]), node[j])
+                label[np.isin(label, label[j])] = label[i]
+
+    def take(t):
+        columns = [t.column(k).to_numpy(zero_copy_only=False) for k in range(t.num_columns)]
+        h, node, n, at = columns[0], columns[1], columns[2].astype(np.int64), columns[3].astype(np.int64)
+        apart = at < 0
+        if apart.any():
+            keep(node[apart], columns[4][apart])
+        new = ~apart
+        new[1:] &= (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        h, node, n, at = h[new], node[new], n[new], at[new]
+        signs = np.stack([c[new] for c in columns[4:]], axis=1).view(U64)
+        cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+        width = np.diff(np.append(cut, len(h)))
+        for k in np.flatnonzero(width >= MANY).tolist():
+            g = slice(cut[k], cut[k] + width[k])
+            large(node[g], n[g], at[g], signs[g])
+        stop = np.repeat(cut + width, width)
+        few = np.repeat((width > 1) & (width < MANY), width)
+        if few.any():
+            small(h[few], node[few], n[few], at[few], signs[few], np.searchsorted(np.flatnonzero(few), stop[few]))
+
+    rest = None
     for batch in batches:
-        ok = [(100 + percent) * least_difference(x, y) <= (100 - percent) * (m + n) for m, x, n, y in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 4, batch.num_columns)), strict=True)]
-        yield batch.select(range(batch.num_columns - 4)).filter(pa.array(ok, pa.bool_()))
-
-
-def _shared(batches):
-    """(a, b, both, either) for rows a, b, members of a, members of b."""
+        t = pa.Table.from_batches([batch])
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        h = t.column(0).to_numpy()
+        open_at = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last region may go on
+        if open_at:
+            take(t.slice(0, open_at))
+        rest = t.slice(open_at)
+    if rest is not None and rest.num_rows:
+        take(rest)
+    if size:
+        u, v = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+# distances
+
+
+def _members(batches, words, wanted):
+    """(k1, k2, n, members) of classes that may be in a candidate group, once a task as far as SEEN goes."""
+    seen: set[tuple[int, int]] = set()
+    for _, texts in chunked(batches, "t"):
+        s = Sets(texts, words)
+        own = s.distinct()
+        own = own[wanted.has(mix(s.k1[own]))]
+        new = []
+        for d in own.tolist():
+            k = (int(s.k1[d]), int(s.k2[d]))
+            if k not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(k)
+                new.append(d)
+        if new:
+            yield pa.record_batch([_signed(s.k1[new]), _signed(s.k2[new]), pa.array(s.size[new]), pa.array([s.values[s.cuts[d] : s.cuts[d + 1]].tobytes() for d in new], pa.binary())], names=["k1", "k2", "n", "members"])
+
+
+class Region:
+    """Sets to be joined by distance: members' sorted values[cuts[k]:cuts[k+1]]; label[k] is a number that all members linked with k so far share."""
+
+    def __init__(self, values: np.ndarray, size: np.ndarray, percent: int):
+        self.values, self.size, self.percent = values, size, percent
+        self.cuts = np.concatenate(([0], np.cumsum(size)))
+        self.label = np.arange(len(size))
+
+    def of(self, k: int) -> np.ndarray:
+        return self.values[self.cuts[k] : self.cuts[k + 1]]
+
+    def shared(self, own: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of `own` with other members' sets."""
+        size = self.size[others]
+        if len(others) == len(self.size):
+            flat = self.values
+        else:
+            flat = np.concatenate([self.of(k) for k in others.tolist()])
+        at = np.searchsorted(own, flat)
+        at[at == len(own)] = 0
+        return np.add.reduceat(own[at] == flat, np.cumsum(size) - size, dtype=np.int64)
+
+    def link(self, k: int, others: np.ndarray, both: np.ndarray) -> None:
+        either = self.size[k] + self.size[others] - both
+        near = self.label[others[100 * both >= self.percent * either]]
+        if len(near):
+            near = np.append(near, self.label[k])
+            self.label[np.isin(self.label, near)] = near.min()
+
+    def compare(self, own: np.ndarray, region: np.ndarray) -> None:
+        """Every member of `own` with all of the region that aren't linked with it yet and whose sizes allow a link."""
+        for k in own.tolist():
+            m, o = self.size[k], self.size[region]
+            others = region[(self.label[region] != self.label[k]) & (100 * np.minimum(m, o) >= self.percent * np.maximum(m, o))]
+            if len(others):
+                self.link(k, others, self.shared(self.of(k), others))
+
+    def join(self, own: np.ndarray | None = None, region: np.ndarray | None = None) -> None:
+        """Link all pairs of a member of `own` and one of `region` (which holds own) that are near enough."""
+        if own is None:
+            own = region = np.arange(len(self.size))
+        if len(own) == 0 or (self.label[region] == self.label[region[0]]).all():
+            return
+        if len(region) <= LEAF:
+            self.compare(own, region)
+            return
+        pivots = own[np.unique(np.linspace(0, len(own) - 1, PIVOTS).astype(int))]
+        distance = np.empty((len(pivots), len(region)))
+        for row, p in enumerate(pivots.tolist()):
+            both = self.shared(self.of(p), region)
+            distance[row] = 1 - both / (self.size[p] + self.size[region] - both)
+            self.link(p, region, both)
+        best, nearest = distance.min(axis=0), distance.argmin(axis=0)
+        mine = np.isin(region, own) & ~np.isin(region, pivots)  # pivots have met the whole region
+        for row in range(len(pivots)):
+            home = region[mine & (nearest == row)]
+            cell = region[distance[row] - best <= 2 * (100 - self.percent) / 100 + 1e-9]
+            if 4 * len(cell) > 3 * len(region):
+                self.compare(home, cell)
+            else:
+                self.join(home, cell)
+
+
+def _joined(batches, percent):
+    """(c, root) for rows (group, c, n, members) sorted by group: the smallest c that links within the group reach."""
+    c_out, root_out, held = [], [], 0
+    for _, t in grouped(batches):
+        c = t.column(1).to_numpy()
+        if len(c) > 1:
+            c, first = np.unique(c, return_index=True)
+            blobs = t.column(3).to_pylist()
+            region = Region(np.frombuffer(b"".join(blobs[k] for k in first.tolist()), U64), t.column(2).to_numpy()[first], percent)
+            region.join()
+            moved = region.label != np.arange(len(c))
+            c_out.append(c[moved])
+            root_out.append(c[region.label[moved]])
+            held += int(moved.sum())
+        if held > 1 << 16:
+            yield pa.record_batch([pa.array(np.concatenate(c_out)), pa.array(np.concatenate(root_out))], names=["c", "root"])
+            c_out, root_out, held = [], [], 0
+    if held:
+        yield pa.record_batch([pa.array(np.concatenate(c_out)), pa.array(np.concatenate(root_out))], names=["c", "root"])
+
+
+def _in_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(c, root) links within every group of rows (group, c, n, members)."""
+    return rows.select("group", "c", "n", "members").repartition("group").sortWithinPartitions("group").mapInArrow(lambda b: _joined(b, percent), "c long, root long")
+
+
+DIVIDED = "kind int, group long, c long, n long, ball long, members binary"  # kind 0: c is in this region; 1: c is linked with ball
+
+
+def _divide(batches, percent, round_):
+    """DIVIDED rows for rows (group, c, n, ball, members, pivots: array of (c, n, members))."""
+    names = [x.split()[0] for x in DIVIDED.split(", ")]
+    window = 2 * (100 - percent) / 100 + 1e-9
     for batch in batches:
-        both, either = [], []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            z = np.sort(np.concatenate((unpack_keys(x.as_buffer()), unpack_keys(y.as_buffer()))))
-            both.append(int((z[1:] == z[:-1]).sum()))
-            either.append(len(z) - both[-1])
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
-
-
-def _compare(pairs: DataFrame, marks: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of those distinct pairs a < b of classes whose parities allow a link; stored."""
-    side = lambda s: marks.select(F.col("c").alias(s), *(F.col(x).alias(x + s) for x in ("k1", "k2", "n", "parity")))
-    rows = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "k1a", "k2a", "b", "k1b", "k2b", "na", "paritya", "nb", "parityb")
-    near = stored(rows.mapInArrow(lambda b: _passing(b, percent), "a long, k1a long, k2a long, b long, k1b long, k2b long"), "near")
-    needed = near.select(F.explode(F.array("k1a", "k1b")).alias("k"))
-    shards = 64
-    counts = needed.mapInArrow(lambda b: count_blobs((mix(x.column(0).to_numpy().view(U64)) for x in b), shards), BLOB_SCHEMA)
-    wanted = pairs.sparkSession.sparkContext.broadcast(build_filter(frequent_keys(counts, (1,), "needed")[0], shards))
-
-    def pick(batches):
-        for b in batches:
-            yield b.filter(pa.array(wanted.value.has(mix(b.column(0).to_numpy().view(U64)))))
-
-    sets = members.mapInArrow(pick, "k1 long, k2 long, members binary").groupBy("k1", "k2").agg(F.first("members").alias("members"))
-    sets = stored(sets, "sets")
-    part = lambda s: sets.select(F.col("k1").alias("k1" + s), F.col("k2").alias("k2" + s), F.col("members").alias("m" + s))
-    both = near.join(part("a"), ["k1a", "k2a"]).join(part("b"), ["k1b", "k2b"]).select("a", "b", "ma", "mb")
-    out = both.mapInArrow(_shared, "a long, b long, both long, either long")
-    return stored(out.select("a", "b", (1 - F.col("both") / F.col("either")).alias("distance"), (100 * F.col("both") >= percent * F.col("either")).alias("linked")), "compared")
-
-
-def _pair(x, y):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+        group, c, n, ball = (batch.column(k).to_pylist() for k in range(4))
+        out, held = [], 0
+        for k in range(batch.num_rows):
+            own = np.frombuffer(batch.column(4)[k].as_py(), U64)
+            pivots = {p["c"]: np.frombuffer(p["members"], U64) for p in batch.column(5)[k].as_py()}
+            both = {p: int((own[np.minimum(np.searchsorted(own, v), len(own) - 1)] == v).sum()) for p, v in pivots.items()}
+            distance = {p: 1 - m / (len(own) + len(pivots[p]) - m) for p, m in both.items()}
+            linked = [p for p, m in both.items() if 100 * m >= percent * (len(own) + len(pivots[p]) - m)]
+            out += [(1, None, c[k], None, p, None) for p in linked if p != c[k]]
+            best = min(distance.values())
+            for p, d in distance.items():
+                if d - best <= window:
+                    region = int(mix(np.array([(group[k] + p * 0x9E3779B97F4A7C15 + round_) & (1 << 64) - 1], U64)).view(np.int64)[0])
+                    out.append((0, region, c[k], n[k], min(linked, default=ball[k]), own.tobytes()))
+                    held += own.nbytes
+            if held > 8 << 20:
+                yield _rows(out, names)
+                out, held = [], 0
+        if out:
+            yield _rows(out, names)
+
+
+def _rows(out, names):
+    kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary()]
+    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def _join_large(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v) links whose components are those of each group's, for groups (group, c, n, members) of any size."""
+    rows, links = rows.withColumn("ball", F.lit(None).cast("long")), None
+    for round_ in range(1, ROUNDS + 1):
+        open_ = (F.count("ball") < F.count("*")) | (F.min("ball") < F.max("ball"))  # else all are linked with one pivot
+        sizes = stored(rows.groupBy("group").agg(F.sum("n").alias("weight"), open_.alias("open")).where("open"), "sizes")
+        near = _in_groups(rows.join(sizes.where(F.col("weight") <= GROUP).select("group"), "group", "left_semi"), percent).toDF("u", "v")
+        links = near if links is None else links.unionByName(near)
+        large = sizes.where(F.col("weight") > GROUP)
+        if large.isEmpty():
+            return links
+        rows = rows.join(large.select("group", "weight"), "group")
+        if round_ == ROUNDS:
+            break
+        first = lambda j: F.min_by(F.struct("c", "members"), F.struct(F.col("ball").isNotNull(), F.xxhash64("c", F.lit(round_), F.lit(j))))
+        pivots = rows.groupBy("group").agg(F.array_distinct(F.array(*(first(j) for j in range(PIVOTS)))).alias("pivots"))
+        rows = stored(rows.join(pivots, "group").select("group", "c", "n", "ball", "members", "pivots").mapInArrow(lambda b, r=round_: _divide(b, percent, r), DIVIDED), "divided")
+        links = links.unionByName(rows.where("kind = 1").select(F.col("c").alias("u"), F.col("ball").alias("v")))
+        rows = rows.where("kind = 0").drop("kind")
+    blocks = F.ceil(2 * F.col("weight") / GROUP) + 1
+    mine = F.pmod(F.xxhash64("c", F.lit("block")), F.col("blocks"))
+    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("group", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")))
+    return links.unionByName(_in_groups(rows, percent).toDF("u", "v"))
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -209,81 +413,43 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer words than `words` is one shingle
     as a whole; null texts and texts without words have none and are linked with nothing: their component is themselves.
     component_id is the smallest id that links reach, null where none of a component's rows has an id. Ids are
-    64-bit integers below 2**62; repeated rows are linked with each other.
+    64-bit integers; repeated rows are linked with each other. Other columns don't matter, whatever their names.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     shards = shards_for(source)
     profiles = stored(source.mapInArrow(lambda batches: _profiles(batches, words), "kind int, id long, n long, k1 long, k2 long"), "profiles")
     rows = profiles.where("kind = 0").drop("kind")
     frequent = profiles.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_AT_ALL).orderBy(F.desc("n"), "k1").limit(COMMON)
-    common = np.sort(np.array([r[0] for r in frequent.select("k1").collect()], np.int64).view(U64))
-    common = spark.sparkContext.broadcast(common)
+    common = context.broadcast(np.sort(np.array([r[0] for r in frequent.select("k1").collect()], np.int64).view(U64)))
     counts = source.mapInArrow(lambda batches: count_blobs(_prefix_pieces(batches, words, common.value, percent), shards), BLOB_SCHEMA)
-    (repeated,) = frequent_keys(counts, (2,), "prefixes")
-    maybe = spark.sparkContext.broadcast(build_filter(repeated, shards))
-    found = stored(source.mapInArrow(lambda batches: _regions(batches, words, common.value, percent, maybe.value), "kind int, h long, k1 long, k2 long, n long, at long, parity binary, members binary, s0 long, s1 long, s2 long, s3 long"), "regions")
-
-    classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.first("k1"), F.lit(1 << 61))).alias("c")), "classes")
-    members = found.where("kind = 0").select("h", "k1", "k2", "n", "at").distinct()
-    several = members.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    regions = stored(members.join(several.select("h"), "h").join(classes, ["k1", "k2"]).select("h", "c", "n", "at"), "members")
-    sets = found.where("kind = 1").select("k1", "k2", "members")
-    held = regions.select("c").distinct()
-    marks = found.where("kind = 1").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), *(F.first(x).alias(x) for x in SIGNS)).join(classes, ["k1", "k2"]).join(held, "c", "left_semi")
-    marks = stored(marks, "marks")
-
-    sized = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-    # Sizes m, n and places i, j of the shingle allow a link of which it is the first shared one: all that is shared comes at or after it.
-    close = lambda m, n, i, j: (100 + percent) * F.least(m - i, n - j) >= percent * (m + n)
-    choose = lambda *seed: F.min_by(F.struct("c", "n", "at"), F.xxhash64("c", *seed))
-    pivots = regions.groupBy("h").agg(choose(F.lit(0)).alias("p")).select("h", F.col("p.c").alias("p"), F.col("p.n").alias("pn"))
-    pivots = stored(pivots, "pivots")
-    pairs = regions.join(pivots, "h").where((F.col("c") != F.col("p")) & sized(F.col("n"), F.col("pn")))
-    tested = _compare(pairs.select(*_pair(F.col("c"), F.col("p"))), marks, sets, percent)
-    labels = components(tested.where("linked").select("a", "b"))
-    spent = None
-    for round_ in range(1, ROUNDS + 1):
-        named = regions.join(labels, F.col("c") == F.col("node"), "left").select("h", "c", "n", "at", F.coalesce("component", "c").alias("comp"))
-        heads = pivots.join(labels, F.col("p") == F.col("node"), "left").select("h", "p", F.coalesce("component", "p").alias("pcomp"))
-        state = named.join(heads, "h")
-        rest = state.where((F.col("comp") != F.col("pcomp")) & (F.col("c") != F.col("p")))
-        if spent is not None:
-            rest = rest.join(spent, ["h", "c"], "left_anti")
-        rest = stored(rest.select("h", "c", "n", "at", "comp", "p"), "rest")
-        sizes = rest.groupBy("h").agg(F.count("*").alias("u")).join(regions.groupBy("h").agg(F.count("*").alias("m")), "h")
-        left = sizes.agg(F.coalesce(F.sum(F.col("u") * F.col("m")), F.lit(0))).first()[0]
-        if left <= REST or round_ == ROUNDS:
-            break
-        # Recursion: a new pivot for each region from its rest, another one in regions of the same classes, compared with all of the region but its own component.
-        chosen = stored(rest.groupBy("h").agg(choose("h", F.lit(round_)).alias("p")).select("h", F.col("p.c").alias("q"), F.col("p.n").alias("qn"), F.col("p.at").alias("qat")), "pivots")
-        pairs = named.join(chosen, "h").join(labels.select(F.col("node").alias("q"), F.col("component").alias("qcomp")), "q", "left")
-        pairs = pairs.where((F.col("c") != F.col("q")) & (F.col("comp") != F.coalesce("qcomp", "q")) & close(F.col("n"), F.col("qn"), F.col("at"), F.col("qat")))
-        more = _compare(pairs.select(*_pair(F.col("c"), F.col("q"))), marks, sets, percent)
-        tested = tested.union(more)
-        spent = chosen.select("h", F.col("q").alias("c")) if spent is None else spent.union(chosen.select("h", F.col("q").alias("c")))
-        labels = components(tested.where("linked").select("a", "b"))
-    if left:
-        measured = tested.select("a", "b", "distance")
-
-        def at_pivot(frame):
-            keyed = frame.withColumn("a", F.least("c", "p")).withColumn("b", F.greatest("c", "p"))
-            return keyed.join(measured.distinct(), ["a", "b"], "left").drop("a", "b")
-
-        signs = marks.select("c", *SIGNS)
-        own = at_pivot(rest).join(signs, "c")
-        hot = rest.select("h").distinct()
-        others = at_pivot(state.where("c <> p").join(hot, "h").select("h", "c", "n", "at", "comp", "p")).join(signs, "c")
-        others = others.select("h", *(F.col(x).alias("y" + x) for x in SIGNS), F.col("c").alias("y"), F.col("n").alias("ny"), F.col("at").alias("yat"), F.col("comp").alias("ycomp"), F.col("distance").alias("yd"))
-        window = F.col("distance").isNull() | F.col("yd").isNull() | (F.abs(F.col("distance") - F.col("yd")) <= (100 - percent) / 100 + 1e-9)
-        differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col("y" + x))) for x in SIGNS), F.lit(0))
-        few = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("ny"))
-        pairs = own.join(others, "h").where(few & (F.col("comp") != F.col("ycomp")) & close(F.col("n"), F.col("ny"), F.col("at"), F.col("yat")) & window)
-        tested = tested.union(_compare(pairs.select(*_pair(F.col("c"), F.col("y"))), marks, sets, percent))
-        labels = components(tested.where("linked").select("a", "b"))
-    named = classes.join(labels, F.col("c") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "c").alias("component"))
-    named = named.withColumn("component", F.when(F.col("component") < NO_ID, F.col("component")))
-    with_words = rows.where("n > 0").join(named, ["k1", "k2"]).select("id", "n", "component")
+    maybe, hot = (context.broadcast(build_filter(t, shards)) for t in frequent_keys(counts, (2, HOT), "prefixes"))
+    found = source.mapInArrow(lambda batches: _regions(batches, words, common.value, percent, maybe.value, hot.value), REGIONS)
+    pairs = found.repartition("h").sortWithinPartitions("h", "node").mapInArrow(lambda b: _candidates(b, percent), "u long, v long")
+    groups = components(pairs)
+    for b in (common, maybe, hot):
+        b.destroy()
+
+    nodes = groups.mapInArrow(lambda b: count_blobs((mix(x.column(0).to_numpy().view(U64)) for x in b), shards), BLOB_SCHEMA)
+    wanted = context.broadcast(build_filter(frequent_keys(nodes, (1,), "nodes")[0], shards))
+    sets = source.mapInArrow(lambda batches: _members(batches, words, wanted.value), "k1 long, k2 long, n long, members binary")
+    sets = sets.join(groups, F.col("k1") == F.col("node")).groupBy("k1", "k2", F.col("component").alias("group")).agg(F.first("n").alias("n"), F.first("members").alias("members"))
+    sets = stored(sets.withColumn("c", F.monotonically_increasing_id()), "sets")
+    wanted.destroy()
+    large = stored(sets.groupBy("group").agg(F.sum("n").alias("weight"), F.count("*").alias("m")).where((F.col("weight") > GROUP) & (F.col("m") > 1)).select("group"), "large")
+    if large.isEmpty():
+        roots = _in_groups(sets, percent)
+    else:
+        links = _join_large(sets.join(large, "group", "left_semi").select("group", "c", "n", "members"), percent)
+        roots = _in_groups(sets.join(large, "group", "left_anti"), percent).union(components(links).where("node <> component"))
+    roots = stored(roots, "roots")
+
+    numbered = sets.select("k1", "k2", "c").join(roots.select("c", "root").union(roots.select(F.col("root").alias("c"), "root").distinct()), "c")
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("low")).join(numbered.select("k1", "k2", "root"), ["k1", "k2"], "left")
+    classes = stored(classes, "classes")
+    lowest = classes.where("root is not null").groupBy("root").agg(F.min("low").alias("lowest"))
+    named = classes.join(lowest, "root", "left").select("k1", "k2", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component"))
+    with_words = rows.where("n > 0").join(stored(named, "named"), ["k1", "k2"]).select("id", "n", "component")
     empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component"))
     return with_words.union(empty).toDF(id_column, "n_shingles", "component_id")
 
@@ -296,4 +462,4 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     return kept.dropDuplicates([id_column, text])
 
 
-__all__ = ["Sets", "jaccard_components", "one_of_each", "prefixes"]
+__all__ = ["Region", "Sets", "jaccard_components", "one_of_each", "prefixes"]

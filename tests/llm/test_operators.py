@@ -58,19 +58,91 @@ def test_jaccard(spark, documents):
     assert rows(ngram_jaccard.jaccard_components(frame(spark, []))) == []
 
 
-def test_jaccard_recursion(spark, monkeypatch):
-    """Many near copies around the threshold, with every region joined recursively first."""
-    rng = random.Random(9)
+def near_copies(n=150, changes=5, seed=9):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     base = [word() for _ in range(100)]
     texts = []
-    for k in range(150):
+    for k in range(n):
         near = list(base)
-        for _ in range(rng.randint(0, 5)):
+        for _ in range(rng.randint(0, changes)):
             near[rng.randrange(100)] = word()
         texts.append((k, " ".join(near)))
-    monkeypatch.setattr(ngram_jaccard, "REST", 10)
-    monkeypatch.setattr(ngram_jaccard, "ROUNDS", 3)
+    return texts
+
+
+def test_jaccard_bounds_change_nothing(spark, monkeypatch):
+    """Near copies around the threshold: with regions that aren't gathered, and groups divided by rows of a table, down to blocks."""
+    texts = near_copies() + odd_texts()
+    want = brute.jaccard(texts)
+    same(ngram_jaccard.jaccard_components(frame(spark, texts)), want)
+    monkeypatch.setattr(ngram_jaccard, "HOT", 3)
+    same(ngram_jaccard.jaccard_components(frame(spark, texts)), want)
+    for group, rounds in ((2000, 4), (700, 2)):
+        monkeypatch.setattr(ngram_jaccard, "GROUP", group)
+        monkeypatch.setattr(ngram_jaccard, "ROUNDS", rounds)
+        same(ngram_jaccard.jaccard_components(frame(spark, texts)), want)
+
+
+def test_jaccard_regions_are_exact(monkeypatch):
+    """Voronoi regions with windows find the same components as all pairs, whatever the number of pivots and the leaf size."""
+    rng = np.random.default_rng(4)
+    for leaf, pivots in ((1, 2), (3, 4), (12, 6)):
+        monkeypatch.setattr(ngram_jaccard, "LEAF", leaf)
+        monkeypatch.setattr(ngram_jaccard, "PIVOTS", pivots)
+        for spread in (5, 20, 40, 90):
+            base = rng.choice(10**6, (5, 60), replace=False)
+            sets = []
+            for k in range(80):
+                own = base[k % 5].copy()
+                own[rng.choice(60, rng.integers(0, 1 + 60 * spread // 100), replace=False)] = rng.integers(10**6, 10**7)
+                sets.append(np.unique(own).astype(np.uint64))
+            region = ngram_jaccard.Region(np.concatenate(sets), np.array([len(x) for x in sets]), 80)
+            region.join()
+            plain = [set(x.tolist()) for x in sets]
+            links = [(a, b) for a in range(80) for b in range(a) if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])]
+            assert region.label.tolist() == brute.components(80, links)
+
+
+def test_jaccard_candidates_are_complete():
+    """Regions below and from MANY classes, spread over batches, keep every pair that their bounds allow."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = [t.encode() for _, t in near_copies(120, 8)]
+    s = ngram_jaccard.Sets(texts)
+    h, doc, place = ngram_jaccard.prefixes(s, s.distinct(), np.empty(0, np.uint64), 80)
+    by = np.lexsort((s.k1[doc].view(np.int64), h.view(np.int64)))
+    h, doc, place = h[by], doc[by], place[by]
+    signs = ngram_jaccard.signatures(s, np.arange(len(texts)))[doc]
+    columns = [h.view(np.int64), s.k1[doc].view(np.int64), s.size[doc].astype(np.int32), place.astype(np.int32), *(np.ascontiguousarray(signs[:, k]) for k in range(4))]
+    names = [x.split()[0] for x in ngram_jaccard.REGIONS.split(", ")]
+    whole = pa.record_batch([pa.array(c) for c in columns], names=names)
+    cuts = np.sort(rng.integers(0, len(h), 30)).tolist()
+    batches = [whole.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, len(h)], strict=True)]
+    got = [b for b in ngram_jaccard._candidates(batches, 80)]
+    low = {}
+    for b in got:
+        low |= dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    group = lambda k: low.get(int(s.k1[k].view(np.int64)), int(s.k1[k].view(np.int64)))
+    for a, _, c in brute.jaccard([(k, t.decode()) for k, t in enumerate(texts)]):
+        assert group(a) == group(c)
+
+
+def thue_morse(letters):
+    t = "a"
+    while len(t) < letters:
+        t += t.translate({97: "b", 98: "a"})
+    return t, t.translate({97: "b", 98: "a"})
+
+
+def test_jaccard_long_words_ids_and_threshold(spark):
+    x, y = thue_morse(2048)
+    many = [f"w{k}" for k in range(100_004)]
+    texts = [(1, f"p q r s {x}"), (2, f"p q r s {y}"), (2**62 + 5, "one two three four five six"), (2**62 + 7, "one two three four five six"), (-(2**63), "a b c d e f g"), (2**63 - 1, "a b c d e f g"), (-5, None)]
+    for k, cut in ((10, 80_004), (20, 80_003)):  # 80,000 of 100,000 shingles are shared, and one less
+        tail = [f"v{k}" + w for w in many]
+        texts += [(k, " ".join(tail)), (k + 1, " ".join(tail[:cut]))]
     same(ngram_jaccard.jaccard_components(frame(spark, texts)), brute.jaccard(texts))
 
 
