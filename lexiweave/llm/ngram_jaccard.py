@@ -6,12 +6,13 @@ so the join has an outer and an inner division.
 1. Which classes could be linked at all. Every class orders its shingles the same way, rarest first, and goes to the regions
    of its first n - ceil(0.8 n) + 1 shingles: two sets that close share one of these. In a region, pairs stay
    whose set sizes, places of the shingle in their orders and 256-bit parity bitmaps (Hamming distance bounds the
-   symmetric difference from below) allow a link. Regions of HOT classes and more aren't gathered: all of their
-   classes count as pairs with the region itself. Components of these pairs are the *candidate groups*.
+   symmetric difference from below) allow a link, and then those whose parities in n to 2n bits do. Where more than DENSE
+   pairs a class would stay, links that connect the same classes stand for them. Regions of HOT classes and more aren't gathered: all of
+   their classes are linked with the region itself. Components of what stays are the *candidate groups*.
 2. Within a candidate group the sets themselves are joined by distance. Pivots create Voronoi regions: a class
-   belongs to its nearest pivot p and is replicated to every pivot q with d(x, q) - d(x, p) <= 0.4, since by the triangle
-   inequality a partner within 0.2 may belong there. Regions are joined recursively, until few members are left, which are
-   compared outright. Members that are known to be in one component need no comparison. A group above GROUP
+   belongs to its nearest pivot p, or to the outer region if that is farther than FAR; it is replicated to every
+   region where by the triangle inequality a partner within 0.2 may belong: to pivot q if d(x, q) - d(x, p) <= 0.4 and d(x, q) <= FAR + 0.2, to the outer
+   region if d(x, p) >= FAR - 0.2. Regions are joined recursively, until few members are left, which are compared outright. Members that are known to be in one component need no comparison. A group above GROUP
    shingles is divided the same way by rows of a table, with pivots of each region joined to its members; a
    region that division can't shrink is compared block by block.
 
@@ -36,9 +37,10 @@ COMMON = 1 << 17  # shingles (16 bytes each) that the shared order puts last
 COMMON_IN_CHUNK, COMMON_AT_ALL = 3, 12
 HOT = 4_096  # classes from which a region isn't gathered
 PAIRS = 1 << 18  # pairs of a region that are looked at together
-MANY = 64  # classes from which a region is joined class by class
+DENSE = 32  # pairs a class that a region gives at most, one by one
 GROUP = 1 << 22  # shingles (32 MB) of a candidate group that one task joins
 LEAF, PIVOTS = 12, 6  # members compared outright, and pivots of a Voronoi division
+FAR = 0.5
 ROUNDS = 6  # divisions of a group above GROUP before its regions are compared in blocks
 SEEN = 1 << 18  # classes of a task that aren't sent twice
 SIGNS = ["s0", "s1", "s2", "s3"]  # 64 bits each of a set's parities in 256 bits
@@ -96,7 +98,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _profiles(batches, words):
-    """kind 0: id, n and class of each document; kind 1: shingles frequent in a chunk, with counts."""
+    """kind 0: id, n, class and parities of each document; kind 1: shingles frequent in a chunk, with counts."""
     for rows, texts in chunked(batches, "t"):
         s = Sets(texts, words)
         n = len(texts)
@@ -104,10 +106,11 @@ def _profiles(batches, words):
         values = np.concatenate([s.values[s.cuts[d] : s.cuts[d + 1]] for d in own.tolist()]) if len(own) else s.values
         k, c = unique_counts(values)
         k, c = k[c >= COMMON_IN_CHUNK], c[c >= COMMON_IN_CHUNK]
-        names = ["kind", "id", "n", "k1", "k2"]
-        yield pa.record_batch([pa.array(np.zeros(n, np.int32)), rows.column(rows.schema.get_field_index("id")), pa.array(s.size), _signed(s.k1), _signed(s.k2)], names=names)
+        names = ["kind", "id", "n", "k1", "k2", "parity"]
+        bits = [parity(s.values[a:b]) for a, b in zip(s.cuts[:-1].tolist(), s.cuts[1:].tolist(), strict=True)]
+        yield pa.record_batch([pa.array(np.zeros(n, np.int32)), rows.column(rows.schema.get_field_index("id")), pa.array(s.size), _signed(s.k1), _signed(s.k2), pa.array(bits, pa.binary())], names=names)
         if len(k):
-            yield pa.record_batch([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(c.astype(np.int64)), _signed(k), pa.array(np.zeros(len(k), np.int64))], names=names)
+            yield pa.record_batch([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(c.astype(np.int64)), _signed(k), pa.array(np.zeros(len(k), np.int64)), pa.nulls(len(k), pa.binary())], names=names)
 
 
 def _prefix_pieces(batches, words, common, percent):
@@ -128,6 +131,31 @@ def signatures(s: Sets, which: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
+def parity(values: np.ndarray) -> bytes:
+    """How often each low part of a hash occurs, odd or even, in n to 2n bits (64 at least)."""
+    size = max(64, 1 << len(values).bit_length())
+    odd = np.bincount((values & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound on the symmetric difference of two sets, from their parities; the longer one is folded."""
+    if len(x) > len(y):
+        x, y = y, x
+    v, bits = int.from_bytes(y, "little"), 8 * len(y)
+    while bits > 8 * len(x):
+        bits //= 2
+        v = (v >> bits) ^ (v & ((1 << bits) - 1))
+    return (v ^ int.from_bytes(x, "little")).bit_count()
+
+
+def _passing(batches, percent):
+    """(u, v) of rows (u, v, nu, pu, nv, pv) whose parities allow a link."""
+    for batch in batches:
+        ok = [(100 + percent) * least_difference(x, y) <= (100 - percent) * (m + n) for m, x, n, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
 REGIONS = "h long, node long, n int, at int, s0 long, s1 long, s2 long, s3 long"  # at -1: node belongs to the hot region s0
 
 
@@ -161,78 +189,119 @@ def allowed(n, at, signs, i, j, percent: int) -> np.ndarray:
     return ok
 
 
-def _candidates(batches, percent):
-    """(u, v) links between classes that a region allows, contracted, for REGIONS rows sorted by h and node."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+class _Links:
+    """Pairs (u, v), each once, and contracted links that stand for denser regions."""
 
-    def keep(u, v):
-        nonlocal held, size
+    def __init__(self):
+        self.pairs, self.links, self.size = [], [], [0, 0]
+
+    def add(self, sure: bool, u: np.ndarray, v: np.ndarray):
+        """Takes the arrays; a record batch when enough is held."""
+        held = self.links if sure else self.pairs
         held.append((u, v))
-        size += len(u)
-        if size > 1 << 20:
-            held = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-            size = len(held[0][0])
-
-    def small(h, node, n, at, signs, stop):
-        """Rows up to `stop`: the end of their region."""
-        count = stop - np.arange(len(h)) - 1
-        ends = np.cumsum(count)
-        lo = 0
-        while lo < len(h):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-            own = count[lo:hi]
-            i = np.repeat(np.arange(lo, hi), own)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
-            ok = allowed(n, at, signs, i, j, percent)
-            if ok.any():
-                keep(node[i[ok]], node[j[ok]])
-            lo = hi
-
-    def large(node, n, at, signs):
-        label = np.arange(len(node))
-        for i in range(len(node) - 1):
-            j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-            j = j[allowed(n, at, signs, i, j, percent)]
-            if len(j):
-                keep(np.full(len(j), node[i]), node[j])
-                label[np.isin(label, label[j])] = label[i]
+        self.size[sure] += len(u)
+        if self.size[sure] > 1 << 20:
+            if sure:
+                self.links = [forest(*self._flat(held))]
+                self.size[1] = len(self.links[0][0])
+            else:
+                self.pairs = [self._distinct()]
+                self.size[0] = len(self.pairs[0][0])
+            if self.size[sure] > 1 << 19:
+                return self.flush()
+        return None
+
+    def _flat(self, held):
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def _distinct(self):
+        u, v = self._flat(self.pairs)
+        return tuple(np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)) if len(u) else (u, v)
+
+    def flush(self) -> pa.RecordBatch:
+        (u, v), (x, y) = self._distinct(), forest(*self._flat(self.links))
+        sure = np.concatenate((np.zeros(len(u), bool), np.ones(len(x), bool)))
+        self.pairs, self.links, self.size = [], [], [0, 0]
+        return pa.record_batch([pa.array(np.concatenate((u, x))), pa.array(np.concatenate((v, y))), pa.array(sure)], names=["u", "v", "sure"])
+
+
+def _sparse(node, n, at, signs, stop, percent):
+    """(u, v) arrays of allowed pairs; stop: where each row's region ends."""
+    count = stop - np.arange(len(node)) - 1
+    ends = np.cumsum(count)
+    lo = 0
+    while lo < len(node):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        own = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        ok = allowed(n, at, signs, i, j, percent)
+        if ok.any():
+            yield False, node[i[ok]], node[j[ok]]
+        lo = hi
+
+
+def _dense(node, n, at, signs, percent):
+    """As _sparse for one region, as long as there are at most DENSE pairs a class; else links that connect the same classes."""
+    pairs, size = [], 0
+    for i in range(len(node) - 1):
+        j = np.arange(i + 1, len(node))
+        j = j[allowed(n, at, signs, i, j, percent)]
+        pairs.append((np.full(len(j), node[i]), node[j]))
+        size += len(j)
+        if size > DENSE * len(node):
+            break
+    else:
+        yield False, *(np.concatenate(x) for x in zip(*pairs, strict=True))
+        return
+    label = np.arange(len(node))
+    for i in range(len(node) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[allowed(n, at, signs, i, j, percent)]
+        if len(j):
+            yield True, np.full(len(j), node[i]), node[j]
+            label[np.isin(label, label[j])] = label[i]
+
+
+def _candidates(batches, percent):
+    """(u, v, sure): pairs of classes that a region allows, and links that stand for dense ones, of REGIONS rows sorted by h and node."""
+    links = _Links()
 
     def take(t):
-        columns = [t.column(k).to_numpy(zero_copy_only=False) for k in range(t.num_columns)]
+        columns = [t.column(k).to_numpy() for k in range(t.num_columns)]
         h, node, n, at = columns[0], columns[1], columns[2].astype(np.int64), columns[3].astype(np.int64)
         apart = at < 0
         if apart.any():
-            keep(node[apart], columns[4][apart])
+            yield True, node[apart], columns[4][apart]
         new = ~apart
         new[1:] &= (h[1:] != h[:-1]) | (node[1:] != node[:-1])
         h, node, n, at = h[new], node[new], n[new], at[new]
         signs = np.stack([c[new] for c in columns[4:]], axis=1).view(U64)
         cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
         width = np.diff(np.append(cut, len(h)))
-        for k in np.flatnonzero(width >= MANY).tolist():
+        for k in np.flatnonzero(width >= 2 * DENSE).tolist():
             g = slice(cut[k], cut[k] + width[k])
-            large(node[g], n[g], at[g], signs[g])
-        stop = np.repeat(cut + width, width)
-        few = np.repeat((width > 1) & (width < MANY), width)
+            yield from _dense(node[g], n[g], at[g], signs[g], percent)
+        few = np.repeat((width > 1) & (width < 2 * DENSE), width)
         if few.any():
-            small(h[few], node[few], n[few], at[few], signs[few], np.searchsorted(np.flatnonzero(few), stop[few]))
+            stop = np.searchsorted(np.flatnonzero(few), np.repeat(cut + width, width)[few])
+            yield from _sparse(node[few], n[few], at[few], signs[few], stop, percent)
 
     rest = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
+        t = t if rest is None else pa.concat_tables([rest, t])
         h = t.column(0).to_numpy()
         open_at = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last region may go on
-        if open_at:
-            take(t.slice(0, open_at))
+        for found in take(t.slice(0, open_at)) if open_at else ():
+            if out := links.add(*found):
+                yield out
         rest = t.slice(open_at)
-    if rest is not None and rest.num_rows:
-        take(rest)
-    if size:
-        u, v = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+    for found in take(rest) if rest is not None and rest.num_rows else ():
+        if out := links.add(*found):
+            yield out
+    if any(links.size):
+        yield links.flush()
 
 
 # distances
@@ -294,30 +363,42 @@ class Region:
             if len(others):
                 self.link(k, others, self.shared(self.of(k), others))
 
-    def join(self, own: np.ndarray | None = None, region: np.ndarray | None = None) -> None:
-        """Link all pairs of a member of `own` and one of `region` (which holds own) that are near enough."""
-        if own is None:
-            own = region = np.arange(len(self.size))
-        if len(own) == 0 or (self.label[region] == self.label[region[0]]).all():
-            return
-        if len(region) <= LEAF:
-            self.compare(own, region)
-            return
-        pivots = own[np.unique(np.linspace(0, len(own) - 1, PIVOTS).astype(int))]
-        distance = np.empty((len(pivots), len(region)))
-        for row, p in enumerate(pivots.tolist()):
-            both = self.shared(self.of(p), region)
-            distance[row] = 1 - both / (self.size[p] + self.size[region] - both)
-            self.link(p, region, both)
-        best, nearest = distance.min(axis=0), distance.argmin(axis=0)
-        mine = np.isin(region, own) & ~np.isin(region, pivots)  # pivots have met the whole region
-        for row in range(len(pivots)):
-            home = region[mine & (nearest == row)]
-            cell = region[distance[row] - best <= 2 * (100 - self.percent) / 100 + 1e-9]
-            if 4 * len(cell) > 3 * len(region):
-                self.compare(home, cell)
-            else:
-                self.join(home, cell)
+    def join(self) -> None:
+        """Link all members that are near enough."""
+        every = np.arange(len(self.size))
+        todo = [(every, every)]  # members of the first are to meet all of the second, which holds them
+        while todo:
+            own, region = todo.pop()
+            if len(own) == 0 or (self.label[region] == self.label[region[0]]).all():
+                continue
+            if len(region) <= LEAF:
+                self.compare(own, region)
+                continue
+            pivots = own[np.unique(np.linspace(0, len(own) - 1, PIVOTS).astype(int))]
+            distance = np.empty((len(pivots), len(region)))
+            for row, p in enumerate(pivots.tolist()):
+                both = self.shared(self.of(p), region)
+                distance[row] = 1 - both / (self.size[p] + self.size[region] - both)
+                self.link(p, region, both)
+            best, nearest = distance.min(axis=0), distance.argmin(axis=0)
+            mine = np.isin(region, own) & ~np.isin(region, pivots)  # pivots have met the whole region
+            cells = [(mine & (nearest == row) & (best <= FAR), near(distance[row], best, self.percent)) for row in range(len(pivots))]
+            for home, cell in [*cells, (mine & (best > FAR), outer(best, self.percent))]:
+                if 4 * cell.sum() > 3 * len(region):
+                    self.compare(region[home], region[cell])
+                else:
+                    todo.append((region[home], region[cell]))
+
+
+def near(distance, best, percent: int):
+    """Whether a member at this distance from a pivot, and `best` from its nearest, may have a partner that belongs to the pivot."""
+    radius = (100 - percent) / 100
+    return (distance - best <= 2 * radius + 1e-9) & (distance <= FAR + radius + 1e-9)
+
+
+def outer(best, percent: int):
+    """Whether a member at distance `best` from its nearest pivot may have a partner that belongs to none."""
+    return best >= FAR - (100 - percent) / 100 - 1e-9
 
 
 def _joined(batches, percent):
@@ -352,7 +433,6 @@ DIVIDED = "kind int, group long, c long, n long, ball long, members binary"  # k
 def _divide(batches, percent, round_):
     """DIVIDED rows for rows (group, c, n, ball, members, pivots: array of (c, n, members))."""
     names = [x.split()[0] for x in DIVIDED.split(", ")]
-    window = 2 * (100 - percent) / 100 + 1e-9
     for batch in batches:
         group, c, n, ball = (batch.column(k).to_pylist() for k in range(4))
         out, held = [], 0
@@ -364,11 +444,10 @@ def _divide(batches, percent, round_):
             linked = [p for p, m in both.items() if 100 * m >= percent * (len(own) + len(pivots[p]) - m)]
             out += [(1, None, c[k], None, p, None) for p in linked if p != c[k]]
             best = min(distance.values())
-            for p, d in distance.items():
-                if d - best <= window:
-                    region = int(mix(np.array([(group[k] + p * 0x9E3779B97F4A7C15 + round_) & (1 << 64) - 1], U64)).view(np.int64)[0])
-                    out.append((0, region, c[k], n[k], min(linked, default=ball[k]), own.tobytes()))
-                    held += own.nbytes
+            for p in [*(p for p, d in distance.items() if near(d, best, percent)), *([-1] if outer(best, percent) else ())]:
+                region = int(mix(np.array([(group[k] + p * 0x9E3779B97F4A7C15 + round_) & (1 << 64) - 1], U64)).view(np.int64)[0])
+                out.append((0, region, c[k], n[k], min(linked, default=ball[k]), own.tobytes()))
+                held += own.nbytes
             if held > 8 << 20:
                 yield _rows(out, names)
                 out, held = [], 0
@@ -418,15 +497,18 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     context = docs.sparkSession.sparkContext
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     shards = shards_for(source)
-    profiles = stored(source.mapInArrow(lambda batches: _profiles(batches, words), "kind int, id long, n long, k1 long, k2 long"), "profiles")
-    rows = profiles.where("kind = 0").drop("kind")
+    profiles = stored(source.mapInArrow(lambda batches: _profiles(batches, words), "kind int, id long, n long, k1 long, k2 long, parity binary"), "profiles")
+    rows = profiles.where("kind = 0").select("id", "n", "k1", "k2")
     frequent = profiles.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_AT_ALL).orderBy(F.desc("n"), "k1").limit(COMMON)
     common = context.broadcast(np.sort(np.array([r[0] for r in frequent.select("k1").collect()], np.int64).view(U64)))
     counts = source.mapInArrow(lambda batches: count_blobs(_prefix_pieces(batches, words, common.value, percent), shards), BLOB_SCHEMA)
     maybe, hot = (context.broadcast(build_filter(t, shards)) for t in frequent_keys(counts, (2, HOT), "prefixes"))
     found = source.mapInArrow(lambda batches: _regions(batches, words, common.value, percent, maybe.value, hot.value), REGIONS)
-    pairs = found.repartition("h").sortWithinPartitions("h", "node").mapInArrow(lambda b: _candidates(b, percent), "u long, v long")
-    groups = components(pairs)
+    pairs = stored(found.repartition("h").sortWithinPartitions("h", "node").mapInArrow(lambda b: _candidates(b, percent), "u long, v long, sure boolean"), "pairs")
+    signs = profiles.where("kind = 0 and n > 0").groupBy("k1").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    side = lambda x: signs.select(F.col("k1").alias(x), F.col("n").alias("n" + x), F.col("parity").alias("p" + x))
+    tested = pairs.where("not sure").select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "pu", "nv", "pv")
+    groups = components(tested.mapInArrow(lambda b: _passing(b, percent), "u long, v long").union(pairs.where("sure").select("u", "v")))
     for b in (common, maybe, hot):
         b.destroy()
 

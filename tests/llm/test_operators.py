@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lexiweave.llm import chat_format, decontaminate, embedding_dedup, language_id, ngram_jaccard, ngram_lm, queries, sentencepiece_codec, suffix_dedup, url_filters, warc
 
+from lexiweave.llm.components import forest
+
 from . import brute
 
 SF = "/root/testdata/sf0.001"
@@ -104,12 +106,12 @@ def test_jaccard_regions_are_exact(monkeypatch):
             assert region.label.tolist() == brute.components(80, links)
 
 
-def test_jaccard_candidates_are_complete():
-    """Regions below and from MANY classes, spread over batches, keep every pair that their bounds allow."""
+def test_jaccard_candidates_are_complete(monkeypatch):
+    """Sparse and dense regions, spread over batches, keep every link."""
     import pyarrow as pa
 
     rng = np.random.default_rng(6)
-    texts = [t.encode() for _, t in near_copies(120, 8)]
+    texts = [t.encode() for _, t in near_copies(120, 3)]
     s = ngram_jaccard.Sets(texts)
     h, doc, place = ngram_jaccard.prefixes(s, s.distinct(), np.empty(0, np.uint64), 80)
     by = np.lexsort((s.k1[doc].view(np.int64), h.view(np.int64)))
@@ -120,13 +122,14 @@ def test_jaccard_candidates_are_complete():
     whole = pa.record_batch([pa.array(c) for c in columns], names=names)
     cuts = np.sort(rng.integers(0, len(h), 30)).tolist()
     batches = [whole.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, len(h)], strict=True)]
-    got = [b for b in ngram_jaccard._candidates(batches, 80)]
-    low = {}
-    for b in got:
-        low |= dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-    group = lambda k: low.get(int(s.k1[k].view(np.int64)), int(s.k1[k].view(np.int64)))
-    for a, _, c in brute.jaccard([(k, t.decode()) for k, t in enumerate(texts)]):
-        assert group(a) == group(c)
+    for dense in (2, 32, 1000):
+        monkeypatch.setattr(ngram_jaccard, "DENSE", dense)
+        got = pa.Table.from_batches(ngram_jaccard._candidates(batches, 80))
+        low = dict(zip(*(x.tolist() for x in forest(got.column("u").to_numpy(), got.column("v").to_numpy())), strict=True))
+        assert any(got.column("sure").to_pylist()) == (dense == 2)
+        group = lambda k: low.get(int(s.k1[k].view(np.int64)), int(s.k1[k].view(np.int64)))  # noqa: B023, E731
+        for a, _, c in brute.jaccard([(k, t.decode()) for k, t in enumerate(texts)]):
+            assert group(a) == group(c)
 
 
 def thue_morse(letters):
