@@ -60,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """S with S[j]-S[i] = sum of byte values times powers of the base over buf[i:j]. Some strings of 1,024 bytes and more collide: for choosing places, not for equality."""
+    """S with S[j]-S[i] = sum of byte values times powers of the base over buf[i:j]. Some strings of 1,024 bytes and more collide."""
     s = np.empty(len(buf) + 1, U64)
     s[0] = 0
     v = _BYTE[buf]
@@ -69,14 +69,27 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     return s
 
 
-def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes between start and end, from prefix_hash()'s sums."""
+PIECE = 256  # bytes: strings up to here don't collide by the algebra of prefix_hash
+
+
+def _piece_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     h = s[end] - s[start]
     h *= powers(len(s))[1][start]
     h += (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
     return mix(h)
 
 
+def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between start and end, from prefix_hash()'s sums; long strings piece by piece."""
+    h = _piece_hash(s, start, np.minimum(end, start + PIECE))
+    at, k = np.flatnonzero(end - start > PIECE), PIECE
+    while len(at):
+        h[at] = mix(h[at] * U64(0xA0761D6478BD642F) + _piece_hash(s, start[at] + k, np.minimum(end[at], start[at] + k + PIECE)))
+        k += PIECE
+        at = at[(end - start)[at] > k]
+    return h
+
+
 def token_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of buf[start:end]: eight bytes a step, each mixed with all before, so that no arithmetic relation between strings survives; long tokens by BLAKE2."""
     size = end - start

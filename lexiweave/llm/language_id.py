@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytekit import chunked
@@ -21,8 +21,8 @@ WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 EMBEDDING = 8
-ROWS_PER_LABEL = 500  # bound on the labelled rows that training uses, per label
-MAX_LABELS = 256
+ROWS_PER_LABEL = 500  # bound on the distinct labelled texts that training uses, per label
+ROWS = 128_000  # the same bound for all labels together
 PIECES = 4  # places of a training row that windows are taken from
 EPOCHS, RATE, SEED = 20, 0.1, 7
 BATCH = 512
@@ -151,22 +151,23 @@ class ByteCNN:
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", rows_per_label: int = ROWS_PER_LABEL) -> ByteCNN | None:
-    """Train on a bounded sample of the labelled rows of df: about rows_per_label of each label, chosen by a hash of the text.
+    """Train on a bounded sample of the labelled rows of df: up to rows_per_label distinct texts of each label, chosen by a hash of the text.
 
-    Of each row, windows at PIECES evenly spaced places are used. Rows with null text or label don't count. Returns
-    None when there is no labelled row. More than MAX_LABELS labels are an error.
+    With very many labels it is ROWS over their number, one at least. Of each text, windows at PIECES evenly spaced
+    places are used. Rows with null text or label and empty texts don't count. Returns None when there is no labelled row.
     """
-    rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col(text).cast("binary").alias("t"))
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
-    if len(sizes) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).cast("string").alias("label"), F.col(text).cast("binary").alias("t")).withColumn("h", F.xxhash64("t"))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_label / n)))))
-    rows = rows.withColumn("h", F.xxhash64("t")).where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("label")))
+    wanted = max(1, min(rows_per_label, ROWS // len(sizes)))
+    share = df.sparkSession.createDataFrame([(k, min(1.0, 2 * wanted / n)) for k, n in sizes.items()], "label string, share double")
+    rows = rows.join(F.broadcast(share), "label").where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < F.col("share"))
     size = F.octet_length("t")
     pieces = [F.substring(F.col("t"), (F.lit(k) * F.greatest(size - WINDOW, F.lit(0)) / max(1, PIECES - 1)).cast("int") + 1, F.lit(WINDOW)) for k in range(PIECES)]
-    got = rows.orderBy("h").limit(2 * rows_per_label * len(sizes)).select("label", "h", F.array(*pieces).alias("pieces")).collect()
+    texts = rows.select("label", "h", F.array(*pieces).alias("pieces")).groupBy("label", "h").agg(F.first("pieces").alias("pieces"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))  # over the sample only
+    got = texts.withColumn("rank", rank).where(F.col("rank") <= wanted).select("label", "h", "pieces").collect()
     labels = sorted(sizes)
     got.sort(key=lambda r: (r["h"], r["label"]))
     x, _ = windows([bytes(p) for r in got for p in r["pieces"]])

@@ -530,7 +530,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("low")).join(numbered.select("k1", "k2", "root"), ["k1", "k2"], "left")
     classes = stored(classes, "classes")
     lowest = classes.where("root is not null").groupBy("root").agg(F.min("low").alias("lowest"))
-    named = classes.join(lowest, "root", "left").select("k1", "k2", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component"))
+    named = classes.where("root is not null").join(lowest, "root").select("k1", "k2", F.col("lowest").alias("component"))
+    named = named.union(classes.where("root is null").select("k1", "k2", "low"))
     with_words = rows.where("n > 0").join(stored(named, "named"), ["k1", "k2"]).select("id", "n", "component")
     empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component"))
     return with_words.union(empty).toDF(id_column, "n_shingles", "component_id")

@@ -175,15 +175,42 @@ def test_strip_repeats_keeps_characters(spark):
     assert (1, None) in got and (4, "a") in got and (71, "") in got
 
 
-def test_suffix_family():
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        batches = [rng.integers(0, 40, rng.integers(0, 12)).astype(np.uint64) for _ in range(9)]
-        family = suffix_dedup.SuffixFamily()
-        for b in batches:
-            family.add(b)
-        flat = np.concatenate(batches)
-        assert np.array_equal(family.repeated[: family.size], np.isin(flat, [x for x in flat if (flat == x).sum() > 1]))
+@pytest.mark.parametrize("length", [1, 5, 8, 11, 30])
+def test_suffix_family(length):
+    """Batches of strings get arrays in byte order, and every string that any batch repeats is marked."""
+    rng = np.random.default_rng(length)
+    for _ in range(8):
+        family, flat = suffix_dedup.SuffixFamily(length), []
+        for n in rng.integers(0, 60, 9):
+            buf = rng.integers(97, 99, n + length).astype(np.uint8)
+            at = np.sort(rng.choice(n + 1, rng.integers(0, n + 1), replace=False))
+            family.add(buf, at)
+            flat += [buf[i : i + length].tobytes() for i in at]
+        assert family.repeated[: family.size].tolist() == [flat.count(x) > 1 for x in flat]
+        assert len(family.levels) <= 1 + np.log2(1 + family.size)
+        for buf, at, _ in family.levels:
+            strings = [buf[i : i + length].tobytes() for i in at]
+            assert strings == sorted(set(strings))
+
+
+def test_suffix_family_goes_by_bytes(monkeypatch):
+    """Equal fingerprints of different strings don't make a repeat."""
+    monkeypatch.setattr(suffix_dedup, "span_hash", lambda sums, start, end: np.zeros(len(start), np.uint64))
+    family = suffix_dedup.SuffixFamily(12)
+    family.add(np.frombuffer(b"abcdefghijklXbcdefghijklabcdefghijkl", np.uint8), np.array([0, 12, 24]))
+    assert family.repeated[:3].tolist() == [True, False, True]
+
+
+def test_suffix_dedup_in_pieces(spark, monkeypatch):
+    """A text above two chunks is worked on in pieces; strings of 1,024 bytes and more don't collide by the hash's algebra."""
+    rng = random.Random(3)
+    part = "".join(rng.choice("abcd ") for _ in range(700))
+    long = "".join(rng.choice("abcdefgh ") for _ in range(5_000_000))
+    x, y = thue_morse(2048)
+    texts = [(1, long[:3_799_900] + part + long[3_799_900:] + part), (2, "zz" + part), (3, x), (4, y)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.report(frame(spark, texts[:2], False)).collect()}
+    assert got[1] == (1400, 2) and got[2] == (700, 1)
+    same(suffix_dedup.report(frame(spark, texts[2:], False), length=2048), brute.repeats(texts[2:], 2048))
 
 
 def test_decontamination(spark, documents):
