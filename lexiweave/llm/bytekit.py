@@ -41,7 +41,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if len(_powers.get("p", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-max(n, 1) // (1 << 18)) << 18
         for name, base in (("p", _BASE), ("q", _BASE_INV)):
             x = np.full(size, base, U64)
             x[0] = 1
@@ -143,7 +143,10 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def release() -> None:
-    """Give freed heap back to the system: workers are kept for later tasks, beside others of their executor."""
+    """Give freed memory back to the system: workers are kept for later tasks, beside others of their executor."""
+    if len(_powers.get("p", ())) > 1 << 21:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -207,3 +210,4 @@ def grouped(batches):
             last = key[a]
     if held:
         yield last, pa.Table.from_batches(held)
+    release()

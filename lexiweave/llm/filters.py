@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import U64, mix, unique_counts
+from .bytekit import U64, mix, release, unique_counts
 from .shared import stored
 
 PROBES = 4
@@ -89,6 +89,7 @@ def frequent_keys(blobs: DataFrame, least: tuple[int, ...], tag: str) -> list[Da
         counts = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()])
         keys, counts = unique_counts(keys, counts.astype(np.int64))
         kept = [keys[counts >= m] for m in least]
+        release()
         return pa.table({"shard": pa.array([key[0].as_py()] * len(least), pa.int32()), "level": pa.array(range(len(least)), pa.int32()), "keys": pa.array([k.tobytes() for k in kept], pa.binary()), "n": pa.array([len(k) for k in kept], pa.int64())})
 
     table = stored(blobs.groupBy("shard").applyInArrow(reduce, "shard int, level int, keys binary, n long"), tag)
@@ -98,7 +99,7 @@ def frequent_keys(blobs: DataFrame, least: tuple[int, ...], tag: str) -> list[Da
 BLOB_SCHEMA = "shard int, keys binary, counts binary"
 
 
-def count_blobs(pieces, shards: int, hold: int = 1 << 21):
+def count_blobs(pieces, shards: int, hold: int = 1 << 19):
     """Record batches of BLOB_SCHEMA for the key arrays that `pieces` yields; counts are pre-summed over up to `hold` distinct keys."""
     from .bytekit import blobs
 
@@ -120,3 +121,4 @@ def count_blobs(pieces, shards: int, hold: int = 1 << 21):
             keys, counts, held = [], [], 0
     if held:
         yield flush()
+    release()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import SPACED, U64, Tokens, chunked, grouped, mix, ngrams, unique_counts
+from .bytekit import SPACED, U64, Tokens, chunked, grouped, mix, ngrams, release, unique_counts
 from .components import components, forest
 from .filters import BLOB_SCHEMA, build_filter, count_blobs, frequent_keys
 from .shared import shards_for, stored
@@ -302,6 +302,7 @@ def _candidates(batches, percent):
             yield out
     if any(links.size):
         yield links.flush()
+    release()
 
 
 # distances

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import U64, blobs, chunked, mix, powers, prefix_hash, span_hash
+from .bytekit import U64, blobs, chunked, mix, powers, prefix_hash, release, span_hash
 from .filters import BLOB_SCHEMA, build_filter, count_blobs, frequent_keys
 from .shared import fresh, shards_for, stored
 
@@ -299,8 +299,10 @@ def _match(batches, length):
             lo = hi
         if len(anchors):
             last = anchors[-1]
+        release()
     if held:
         yield flush()
+    release()
 
 
 HOT_SCHEMA = "uid long, shard int, prints binary, checks binary, many binary, number binary, inverse binary, n_windows binary, n_rows binary, row binary, row_pos binary"
@@ -338,6 +340,7 @@ def _hot_repeats(key, group):
     flag[order[same]] = flag[order[same + 1]] = True
     cuts = np.cumsum([0, *map(len, held)])
     number = [np.frombuffer(x, np.int32)[flag[cuts[i] : cuts[i + 1]]].tobytes() for i, x in enumerate(group.column("number").to_pylist())]
+    release()
     return pa.table({"uid": group.column("uid"), "number": pa.array(number, pa.binary())})
 
 
