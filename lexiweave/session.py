@@ -9,14 +9,20 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: Python workers are kept between tasks, several in an executor; these make them give freed memory back instead of keeping it.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def reach_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import the package from where the driver has it.
+    """Let Python workers on this machine import the package from where the driver has it, and hold on to little memory.
 
-    Elsewhere the package has to be installed or shipped (--py-files), as for any PySpark library.
+    Elsewhere the package has to be installed or shipped (--py-files), as for any PySpark library. Settings of
+    the worker environment that are there already stay.
     """
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, *paths) if x)
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     return spark
