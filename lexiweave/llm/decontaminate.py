@@ -11,6 +11,7 @@ removal spans. Words are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import ALNUM, Tokens, chunked
-from .shared import fresh
 
 WORDS = 10
 SAMPLE_EVERY = 8
 SHARD_BYTES = 3 << 20
-ITEM_BLOCK_BYTES = 16 << 20  # benchmark text that is broadcast at once; more is searched in blocks
+ITEM_BLOCK_BYTES = 2 << 20  # benchmark text whose windows are broadcast together
 
 
 class WaveletTree:
@@ -123,29 +123,33 @@ class FMIndex:
 
 
 class Windows:
-    """The distinct windows of benchmark items: by length a matrix of symbols, and the items of each window."""
-
-    def __init__(self, items: list[tuple], words: int = WORDS):
-        texts = [(t or "").encode() for _, t in items]
-        t = Tokens(texts, ALNUM)
-        self.vocabulary = np.unique(t.hash)
-        symbol = np.searchsorted(self.vocabulary, t.hash) + 1
-        self.sigma = len(self.vocabulary) + 1
-        by: dict[int, dict[tuple, list]] = {}
-        for k, (item, _) in enumerate(items):
-            own = symbol[t.bounds[k] : t.bounds[k + 1]]
-            m = min(words, len(own))
-            for i in range(len(own) - m + 1) if m else ():
-                seen = by.setdefault(m, {}).setdefault(tuple(own[i : i + m].tolist()), [])
-                if k not in seen:
-                    seen.append(k)
-        self.by_length = {m: (np.array(list(d), np.int64).reshape(len(d), m), list(d.values())) for m, d in sorted(by.items())}
-        self.shortest = min(self.by_length, default=0)
+    """The distinct windows of benchmark items: by length a matrix of symbols, and for window k its items owners[cuts[k]:cuts[k+1]]."""
+
+    def __init__(self, items: list[tuple], vocabulary: np.ndarray, words: int = WORDS):
+        t = Tokens([x or b"" for _, x in items], ALNUM)
+        symbol = (np.searchsorted(vocabulary, t.hash) + 1).astype(np.int32)
+        size = np.diff(t.bounds)
         self.ids = [None if i is None else str(i) for i, _ in items]
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for m in np.unique(np.minimum(size[size > 0], words)).tolist():
+            own = np.flatnonzero(size >= words) if m == words else np.flatnonzero(size == m)
+            count = size[own] - m + 1
+            item = np.repeat(own, count)
+            start = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + t.bounds[:-1][item]
+            matrix, inverse = np.unique(symbol[start[:, None] + np.arange(m)], axis=0, return_inverse=True)
+            pairs = np.unique(inverse.ravel() * len(items) + item)
+            self.by_length[m] = matrix, np.searchsorted(pairs, np.arange(len(matrix) + 1) * len(items)), pairs % len(items)
+
+
+class Symbols:
+    """The benchmark's words as symbols 1.., and how long its shortest window is."""
+
+    def __init__(self, vocabulary: np.ndarray, shortest: int):
+        self.vocabulary, self.shortest = vocabulary, shortest
         self.gate = np.zeros(1 << 16, bool)
-        self.gate[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.gate[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-    def symbols(self, h: np.ndarray) -> np.ndarray:
+    def of(self, h: np.ndarray) -> np.ndarray:
         """Symbols of word hashes, 0 for words that no item has."""
         out = np.zeros(len(h), np.int64)
         maybe = np.flatnonzero(self.gate[(h & np.uint64(0xFFFF)).astype(np.int64)])
@@ -156,8 +160,8 @@ class Windows:
         return out
 
 
-def occurrences(symbol: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, list]:
-    """(first word, length, items) of every occurrence of a window in a shard's words; bounds are where documents begin."""
+def index_words(symbol: np.ndarray, bounds: np.ndarray, symbols: Symbols) -> tuple[FMIndex, np.ndarray] | None:
+    """An FM-index of a shard's runs of benchmark words and the word at each of its places; bounds are where documents begin."""
     n = len(symbol)
     known = np.zeros(n + 2, bool)
     known[1:-1] = symbol > 0
@@ -169,65 +173,90 @@ def occurrences(symbol: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.
     if len(gaps):
         at = np.searchsorted(gaps, start)
         stop = np.minimum(stop, np.where(at < len(gaps), gaps[np.minimum(at, len(gaps) - 1)], n))
-    long = stop - start >= max(1, w.shortest)
+    long = stop - start >= max(1, symbols.shortest)
     start, stop = start[long], stop[long]
     if not len(start):
-        return np.empty(0, np.int64), np.empty(0, np.int64), []
+        return None
     size = stop - start + 1
     offset = np.concatenate(([0], np.cumsum(size)))
     origin = np.repeat(start - offset[:-1], size) + np.arange(offset[-1])
     text = symbol[np.minimum(origin, n - 1)]
     text[offset[1:] - 1] = 0
-    index = FMIndex(text, w.sigma)
-    first, length, items = [], [], []
-    for m, (patterns, owners) in w.by_length.items():
+    return FMIndex(text, len(symbols.vocabulary) + 1), origin
+
+
+def occurrences(index: FMIndex, origin: np.ndarray, w: Windows):
+    """(first words, length, items, occurrence of each item) of the windows of each length that occur."""
+    for m, (patterns, cuts, owners) in w.by_length.items():
         lo, hi = index.search(patterns)
         hit = np.flatnonzero(lo < hi)
         if len(hit):
             count = (hi - lo)[hit]
             rows = np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            first.append(origin[index.locate(rows)])
-            length.append(np.full(len(rows), m))
-            items += [owners[k] for k in np.repeat(hit, count)]
-    if not items:
-        return np.empty(0, np.int64), np.empty(0, np.int64), []
-    return np.concatenate(first), np.concatenate(length), items
+            which = np.repeat(hit, count)
+            n_items = np.diff(cuts)[which]
+            place = np.repeat(np.arange(len(which)), n_items)
+            items = owners[cuts[which[place]] + np.arange(len(place)) - np.repeat(np.cumsum(n_items) - n_items, n_items)]
+            yield origin[index.locate(rows)], m, items, place
 
 
-def merge_spans(first: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
-    """Overlapping and touching spans as one, sorted."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(first.tolist(), stop.tolist(), strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merge_spans(first: np.ndarray, stop: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end) of the maximal runs of hit words; documents, which begin at bounds, aren't joined."""
+    n = int(bounds[-1])
+    depth = np.bincount(first, minlength=n + 1) - np.bincount(stop, minlength=n + 1)
+    on = np.concatenate(([False], np.cumsum(depth)[:n] > 0, [False]))
+    begins, ends = on[1:] & ~on[:-1], on[:-1] & ~on[1:]
+    inner = bounds[(bounds > 0) & (bounds < n)]
+    both = inner[on[inner] & on[inner + 1]]
+    begins[both] = ends[both] = True
+    return np.flatnonzero(begins), np.flatnonzero(ends)
 
 
 FOUND = "n_words long, spans array<struct<start:int,stop:int,first_word:int,last_word:int>>, items array<string>"
 
 
-def _find(batches, column, keep, w: Windows):
-    span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])
+def _find(batches, column, keep, symbols: Symbols, blocks: list):
+    """blocks: broadcast Windows, of which one is held at a time if there are several."""
+    kinds = ("start", "stop", "first_word", "last_word")
     for rows, texts in chunked(batches, column, SHARD_BYTES):
         t = Tokens([x or b"" for x in texts], ALNUM)
-        hits: dict[int, list] = {}
-        if w.by_length and len(t.hash):
-            first, length, items = occurrences(w.symbols(t.hash), t.bounds, w)
-            doc = np.searchsorted(t.bounds, first, side="right") - 1
-            for d, a, m, k in zip(doc.tolist(), first.tolist(), length.tolist(), items, strict=True):
-                hits.setdefault(d, []).append((a, a + m, k))
-        spans, found = [None] * len(texts), [None] * len(texts)
-        for d in range(len(texts)):
-            own = hits.get(d, [])
-            at, b = int(t.at[d]), int(t.bounds[d])
-            merged = merge_spans(np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64)) if own else []
-            spans[d] = [(int(t.start[a]) - at, int(t.end[z - 1]) - at, a - b, z - b) for a, z in merged]
-            found[d] = sorted({w.ids[k] for x in own for k in x[2] if w.ids[k] is not None})
+        bounds = t.bounds - t.bounds[0]
+        built = index_words(symbols.of(t.hash), bounds, symbols) if symbols.shortest and len(t.hash) else None
+        first, stop, named = [], [], [set() for _ in texts]
+        for block in blocks if built else ():
+            w = block.value
+            for at, m, items, place in occurrences(*built, w):
+                first.append(at)
+                stop.append(at + m)
+                doc = np.searchsorted(bounds, at, side="right") - 1
+                for pair in np.unique(doc[place] * len(w.ids) + items).tolist():
+                    if (name := w.ids[pair % len(w.ids)]) is not None:
+                        named[pair // len(w.ids)].add(name)
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)
+        a, z = merge_spans(np.concatenate(first), np.concatenate(stop), bounds) if first else (np.empty(0, np.int64), np.empty(0, np.int64))
+        doc = np.searchsorted(bounds, a, side="right") - 1
+        fields = [t.start[a] - t.at[doc], t.end[z - 1] - t.at[doc], a - bounds[doc], z - bounds[doc]]
+        spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in fields], kinds)
+        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)), spans)
         kept = [rows.column(rows.schema.get_field_index(c)) for c in keep]
-        n_words = np.diff(t.bounds)
-        yield pa.record_batch([*kept, pa.array(n_words, pa.int64()), pa.array([[dict(zip(("start", "stop", "first_word", "last_word"), s, strict=True)) for s in x] for x in spans], pa.list_(span)), pa.array(found, pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"])
+        yield pa.record_batch([*kept, pa.array(np.diff(t.bounds), pa.int64()), spans, pa.array([sorted(x) for x in named], pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"])
+
+
+def _vocabulary(batches):
+    """Distinct word hashes, and at kind 1 the lengths of windows up to 65,536 words."""
+    for _, texts in chunked(batches, "t"):
+        t = Tokens([x or b"" for x in texts], ALNUM)
+        h, size = np.unique(t.hash).view(np.int64), np.unique(np.minimum(np.diff(t.bounds), 1 << 16))
+        yield pa.record_batch([pa.array(np.repeat([0, 1], [len(h), len(size)]), pa.int32()), pa.array(np.concatenate((h, size)))], names=["kind", "x"])
+
+
+def _build(vocabulary, words):
+    def build(key, group):
+        items = sorted(zip(group.column("i").to_pylist(), group.column("t").to_pylist(), strict=True), key=lambda x: (x[0] is None, x))
+        return pa.table({"windows": pa.array([pickle.dumps(Windows(items, vocabulary.value, words))], pa.binary())})
+
+    return build
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", words: int = WORDS, keep: list[str] | None = None) -> DataFrame:
@@ -236,40 +265,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     spans: maximal runs of hit words as UTF-8 byte offsets [start, stop) of the text and word numbers [first_word,
     last_word). items: sorted ids, as strings, of the items with occurring windows (null ids name nothing, but their
     windows count). Null texts have no words; an empty benchmark hits nothing. Documents aren't shuffled: each task
-    indexes shards of its own rows. The benchmark is read in blocks of about ITEM_BLOCK_BYTES, each broadcast.
+    indexes shards of its own rows, and searches each index for all windows. Workers make the windows, in blocks of about
+    ITEM_BLOCK_BYTES of items that are broadcast; the benchmark's distinct words (8 bytes each) are broadcast as a whole.
+    Columns n_words, spans and items that docs has are replaced.
     """
+    context = docs.sparkSession.sparkContext
     keep = [c for c in docs.columns if c not in ("n_words", "spans", "items")] if keep is None else keep
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // ITEM_BLOCK_BYTES))
-    wanted = keep
-    if blocks > 1:  # rows of the same text are put together again by a hash of it
-        hidden = fresh("text_hash", docs)
-        docs, keep = docs.withColumn(hidden, F.xxhash64(text)), [*keep, hidden]
+    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
+    found = items.mapInArrow(_vocabulary, "kind int, x long").distinct().collect()
+    sizes = [min(r["x"], words) for r in found if r["kind"] == 1 and r["x"]]
+    vocabulary = context.broadcast(np.sort(np.array([r["x"] for r in found if r["kind"] == 0], np.int64).view(np.uint64)))
+    blocks = max(1, -(-items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] // ITEM_BLOCK_BYTES))
+    built = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))).groupBy("block").applyInArrow(_build(vocabulary, words), "windows binary")
+    windows = [context.broadcast(pickle.loads(r["windows"])) for r in built.toLocalIterator()]
+    symbols = context.broadcast(Symbols(vocabulary.value, min(sizes, default=0)))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    items = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t"))
-    parts = []
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        shared = docs.sparkSession.sparkContext.broadcast(Windows([(r["i"], r["t"]) for r in own.orderBy("i", "t").collect()], words))
-        source = docs.select(*dict.fromkeys([*keep, text]))
-        parts.append(source.mapInArrow(lambda batches, w=shared: _find(batches, text, keep, w.value), f"{schema}, {FOUND}"))
-    if blocks == 1:
-        return parts[0]
-    return _merge_blocks(parts, keep).select(*wanted, "n_words", "spans", "items")
-
-
-def _merge_blocks(parts: list[DataFrame], keep: list[str]) -> DataFrame:
-    """One row per document from those of each block of items; rows are told apart by all kept columns and their number of copies."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    g = out.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("long").alias("copies"))
-    merged = F.aggregate(
-        F.array_sort("all"),
-        F.expr("cast(array() as array<struct<start:int,stop:int,first_word:int,last_word:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["first_word"] <= F.element_at(acc, -1)["last_word"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"), F.element_at(acc, -1)["first_word"].alias("first_word"), F.greatest(F.element_at(acc, -1)["last_word"], x["last_word"]).alias("last_word"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return g.withColumn("spans", merged).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*keep, "n_words", "spans", "items")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(lambda batches: _find(batches, text, keep, symbols.value, windows), f"{schema}, {FOUND}")
 
 
 def strip_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -301,4 +312,4 @@ def digest_items(ids) -> str:
     return hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-__all__ = ["FMIndex", "WaveletTree", "Windows", "digest_items", "find_contamination", "merge_spans", "occurrences", "strip_spans", "suffix_array"]
+__all__ = ["FMIndex", "Symbols", "WaveletTree", "Windows", "digest_items", "find_contamination", "index_words", "merge_spans", "occurrences", "strip_spans", "suffix_array"]

@@ -232,6 +232,8 @@ def test_decontamination_edges(spark, monkeypatch):
         return [(r[0], r["n_words"], sum(s["last_word"] - s["first_word"] for s in r["spans"]), len(r["items"]), decontaminate.digest_items(r["items"]), bool(r["spans"])) for r in f.collect()]
 
     assert sorted(got(frame(spark, texts)), key=repr) == sorted(want, key=repr)
+    clash = frame(spark, texts).withColumns({"spans": F.lit(1), "items": F.lit("x"), "n_words": F.lit(0)})
+    assert sorted(got(clash), key=repr) == sorted(want, key=repr)
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK_BYTES", 40)  # several blocks of items
     assert sorted(got(frame(spark, texts)), key=repr) == sorted(want, key=repr)
     assert got(frame(spark, [])) == []
@@ -239,6 +241,16 @@ def test_decontamination_edges(spark, monkeypatch):
     assert all(not r["spans"] and not r["items"] for r in none.collect())
 
 
+def test_decontamination_long_words_and_texts(spark):
+    """Words of 2,048 letters that a polynomial hash confuses; hits at the ends of neighbouring documents; a text above several token blocks."""
+    x, y = thue_morse(2048)
+    items = [(1, f"{x} one"), (2, "end of it"), (3, " ".join(f"q{k}" for k in range(12)))]
+    texts = [(1, f"a {y} one"), (2, f"a {x} one"), (3, "the end of it"), (4, "end of it"), (5, "end of it end of it"), (6, "word " * 700_000 + " ".join(f"q{k}" for k in range(12)) + " tail")]
+    found = decontaminate.find_contamination(frame(spark, texts, False).coalesce(1), spark.createDataFrame(items, "item_id long, text string"), keep=["doc_id"])
+    got = [(r[0], r["n_words"], sum(s["last_word"] - s["first_word"] for s in r["spans"]), len(r["items"]), decontaminate.digest_items(r["items"]), bool(r["spans"])) for r in found.collect()]
+    assert sorted(got) == sorted(brute.contamination(texts, items))
+
+
 def test_strip_spans(spark):
     texts = [(1, "zero one two! three"), (2, None), (3, "nothing here")]
     found = decontaminate.find_contamination(frame(spark, texts, False), spark.createDataFrame([(1, "one two")], "item_id long, text string"))
