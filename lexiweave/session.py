@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 #: Python workers are kept between tasks, several in an executor; these make them give freed memory back instead of keeping it.
-WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(256 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def reach_workers(spark: SparkSession) -> SparkSession:
