@@ -1,8 +1,8 @@
 """WARC archives: writing with revisit records, and reading by verified record boundaries.
 
 Writing: digests are grouped to find equal payloads, and Spark's text writer puts out one
-record a row with the record terminator as line separator, so the commit protocol covers lost
-tasks. Reading: every occurrence of the version line is a *candidate* record with a pointer to
+file a row, so the commit protocol covers lost tasks. A file holds records of FILE_BYTES together, or a single larger one.
+Reading: every occurrence of the version line is a *candidate* record with a pointer to
 its successor (its end by Content-Length). Pointer jumping from the start of the file keeps the
 candidates that the chain reaches; a version line inside a payload is never reached.
 """
@@ -17,18 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import shared_dir, stored
 
 VERSION = b"WARC/1.1\r\n"
 TERMINATOR = "\r\n\r\n"
 MIN_REVISIT = 100  # payload bytes from which equal payloads are stored once
-RECORDS_PER_FILE = 2_000
+FILE_BYTES = 16 << 20  # a record that is larger has a file of its own
 BROADCAST_GROUPS = 50_000  # up to so many groups of equal payloads (digest and id, below 8 MB) are broadcast
-MAX_FILE = 1 << 30  # bytes of an archive that a task will hold
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
 
 
-def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Write one record per row to WARC files under `path`.
 
     Among rows with equal payloads of at least MIN_REVISIT bytes, the one with the smallest id becomes a response
@@ -39,7 +38,8 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
     p = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.coalesce(payload_column, F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("size", F.octet_length("payload"))
     groups = p.where(F.col("size") >= MIN_REVISIT).groupBy(F.col("digest").alias("g")).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("g", "first_id")
-    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    groups = stored(groups, "payloads")
+    few = groups.count() <= BROADCAST_GROUPS
     p = p.join(F.broadcast(groups) if few else groups, (F.col("digest") == F.col("g")) & (F.col("size") >= MIN_REVISIT), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     eol = "\r\n"
@@ -58,19 +58,39 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
         F.octet_length(block).cast("string"),
         F.lit(eol * 2),
     )
-    p.select(F.concat(header, block).alias("value")).write.option("lineSep", TERMINATOR).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records = p.select(F.concat(header, block).cast("binary").alias("value"))
+    records.mapInArrow(lambda batches: _files(batches, file_bytes), "value string").write.option("lineSep", TERMINATOR).option("maxRecordsPerFile", 1).text(path)
+
+
+def _files(batches, file_bytes: int):
+    """One row for each file: records with the terminator between them."""
+    held, size = [], 0
+
+    def out():
+        return pa.record_batch([pa.array([TERMINATOR.encode().join(held)], pa.binary()).cast(pa.string())], names=["value"])
+
+    for batch in batches:
+        for value in batch.column(0):
+            record = value.as_py()
+            if held and size + len(record) > file_bytes:
+                yield out()
+                held, size = [], 0
+            held.append(record)
+            size += len(record) + len(TERMINATOR)
+    if held:
+        yield out()
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(offset, successor) of all version lines in an archive; successor -1 where no header with a length follows."""
-    at, to, i = [], [], data.find(VERSION)
-    while i >= 0:
-        end = data.find(b"\r\n\r\n", i)
-        m = _LENGTH.search(data, i, end + 2) if end >= 0 else None
-        at.append(i)
-        to.append(end + 4 + int(m[1]) + 4 if m else -1)
-        i = data.find(VERSION, i + 1)
-    return np.array(at, np.int64), np.array(to, np.int64)
+    """(offset, successor) of all version lines in an archive; successor -1 where no header with a length follows before the next version line."""
+    at = np.array([m.start() for m in re.finditer(re.escape(VERSION), data)], np.int64)
+    blank = np.array([*(m.start() for m in re.finditer(b"(?=\r\n\r\n)", data)), len(data)], np.int64)
+    end = blank[np.searchsorted(blank, at)]
+    to = np.full(len(at), -1, np.int64)
+    for k in np.flatnonzero(end < np.append(at[1:], len(data))).tolist():
+        if m := _LENGTH.search(data, at[k], end[k] + 2):
+            to[k] = end[k] + 4 + int(m[1][:18]) + 4
+    return at, to
 
 
 def reachable(at: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
@@ -149,10 +169,9 @@ def read_warc(spark, path: str, with_payload: bool = True) -> DataFrame:
 
     A response's size and digest are taken from the payload that was read, and the digest must equal the written
     one; a revisit's are those of the full payload that its headers state. An archive whose chain of records is
-    broken, and one above MAX_FILE bytes, is an error.
+    broken is an error. A task holds one archive at a time: those of write_warc are bounded, others should be.
     """
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
-    files = files.select(F.when(F.col("length") <= MAX_FILE, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("archive too large: "), "path"))).alias("content"))
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("content")
     schema = RECORD_SCHEMA if with_payload else RECORD_SCHEMA.rsplit(", ", 1)[0]
     return files.mapInArrow(lambda batches: _read(batches, with_payload), schema)
 

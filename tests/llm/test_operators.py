@@ -489,6 +489,27 @@ def test_warc(spark, tmp_path):
     assert payload[7] == data[7][2] and payload[3] == page
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    """Long payloads spread over files; one above the bound has its own; columns with clashing names and payloads that end in line ends do no harm."""
+    rng = random.Random(8)
+    data = [(k, f"u{k}", "".join(rng.choice("ab\r\n") for _ in range(rng.randint(0, 3000))) + "\r\n" * (k % 3)) for k in range(60)] + [(60, "big", "x" * 200_000), (61, "big", "x" * 200_000)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3).withColumns({"id": F.lit(1), "digest": F.lit("d"), "size": F.lit(0), "g": F.lit(""), "payload": F.lit("p"), "value": F.lit(1)})
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(df, path, file_bytes=20_000)
+    files = spark.read.format("binaryFile").load(path).select("length").where("length > 0").collect()
+    assert len(files) > 5 and sorted(r[0] for r in files)[-2] < 25_000
+    got = {r["page_id"]: (r["record_type"], r["payload_bytes"], bytes(r["payload"]).decode()) for r in warc.read_warc(spark, path).collect()}
+    assert got == {k: ("revisit", 200_000, "") if k == 61 else ("response", len(t), t) for k, _, t in data}
+
+
+def test_warc_candidates_in_linear_time():
+    for hostile in (b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 1\r\n", b"WARC/1.1\r\nContent-Length: 99999999999999999999\r\n\r\n", b"\r\n"):
+        payload = hostile * 200_000
+        data = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(payload), payload)
+        at, to = warc.candidates(data)
+        assert at[warc.reachable(at, to, len(data))].tolist() == [0]
+
+
 def test_warc_chain():
     record = b"WARC/1.1\r\nContent-Length: 12\r\n\r\nWARC/1.1\r\nab\r\n\r\n"
     at, to = warc.candidates(record * 3)
