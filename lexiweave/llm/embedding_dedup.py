@@ -25,7 +25,6 @@ DIRECTIONS = 6
 SAMPLE = 4_096  # vectors that the principal directions are fitted on, by a hash order
 BLOCK = 1_024
 LEAF = 256
-NO_ID = 1 << 62
 
 
 def fit_directions(vectors: np.ndarray, k: int = DIRECTIONS) -> np.ndarray:
@@ -129,7 +128,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     Rows are compared when their labels are equal and not null and their vectors equally long. Vectors that are null,
     empty, zero, or hold null or non-finite components link with nothing and are their own component. component_id is the smallest id
     that links reach, null where no row of it has an id; kept says that it is the row's own (false without an id).
-    Repeated rows are linked with each other. Ids are 64-bit integers below 2**62.
+    Repeated rows are linked with each other. Ids are 64-bit integers.
     """
     spark = vectors.sparkSession
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
@@ -137,8 +136,8 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
     rows = rows.withColumn("k1", F.when(F.col("ok"), F.xxhash64("label", "v"))).withColumn("k2", F.when(F.col("ok"), F.xxhash64("v", "label", F.lit(1))))
-    classes = rows.where("ok").groupBy("k1", "k2").agg(F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.first("k1"), F.lit(1 << 61))).alias("c"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = stored(classes, "vectors")
+    classes = rows.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "vectors")
     sample = classes.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if sample:
@@ -164,9 +163,11 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
         joined = stored(pairs.select("dim", "a", "idsa", "copiesa", "coordsa", "unitsa", "b", "idsb", "copiesb", "coordsb", "unitsb").mapInArrow(lambda b: _join(b, eps, cosine), "id long, other long, linked long"), "links")
         linked = joined.where("other is null").groupBy(F.col("id").alias("c")).agg(F.sum("linked").alias("linked"))
         labels = components(joined.where("other is not null").select("id", "other"))
-        named = classes.select("k1", "k2", "c", "copies").join(linked, "c", "left").join(labels, F.col("c") == F.col("node"), "left")
-        named = named.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
-        named = named.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
+        lowest = labels.join(classes.select("c", "low"), F.col("node") == F.col("c")).groupBy("component").agg(F.min("low").alias("lowest"))
+        reached = labels.join(lowest, "component").select("node", "lowest")
+        named = classes.select("k1", "k2", "c", "copies", "low").join(linked, "c", "left").join(reached, F.col("c") == F.col("node"), "left")
+        component = F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("lowest"))
+        named = named.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), component.alias("component_id"))
         alone = rows.where("ok").select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "n_links", "component_id").union(alone)
     return alone.select(F.col("id").alias(id_column), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

@@ -2,6 +2,35 @@
 
 WORDS10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT k, array_to_string(ws[i : i + least(5, len(ws)) - 1], ' ') AS s FROM w, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS t(i) WHERE len(ws) > 0
+), sizes AS (SELECT k, count(*) AS n FROM shingles GROUP BY k),
+shared AS (SELECT a.k AS x, b.k AS y, count(*) AS met FROM shingles a JOIN shingles b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.k = x JOIN sizes b ON b.k = y WHERE 100 * met >= 80 * (a.n + b.n - met)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x, min(doc_id) AS m FROM reach JOIN w ON w.k = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM w LEFT JOIN sizes USING (k) LEFT JOIN low ON low.x = w.k
+"""
+
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT k, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM d, unnest(generate_series(0, n - 200)) AS t(i) WHERE n >= 200),
+again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+marked AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS gap FROM windows SEMI JOIN again USING (s)),
+runs AS (SELECT k, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM marked),
+spans AS (SELECT k, run, min(i) AS a, max(i) + 200 AS z FROM runs GROUP BY k, run),
+cut AS (
+  SELECT k, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * coalesce(before, 0) + 1, 2 * (a - coalesce(before, 0))), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+  FROM (SELECT *, lag(z) OVER (PARTITION BY k ORDER BY a) AS before FROM spans) JOIN d USING (k) GROUP BY k
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (k)
+"""
+
 OP2 = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -73,6 +102,8 @@ FROM v LEFT JOIN low ON low.x = vec_id LEFT JOIN n ON n.x = vec_id
 """
 
 ORACLES = {
+    "op1_ngram_jaccard_join": OP1,
+    "op6_suffix_array_dedup": OP6,
     "op2_url_filters": OP2,
     "op4_benchmark_decontamination": OP4,
     "op5_chat_formatting": OP5,

@@ -380,7 +380,7 @@ def odd_vectors():
     base = rng.normal(size=(6, 8))
     near = [(100 + k, (base[k % 6] + rng.normal(size=8) * 0.12).tolist(), k % 2) for k in range(90)]
     odd = [(1, None, 0), (2, [0.0] * 8, 0), (3, [1.0, None] * 4, 0), (4, [float("nan")] * 8, 0), (5, [float("inf")] * 8, 0), (6, [], 0), (7, [1.0] * 8, None), (8, [1.0] * 4, 0), (9, [2.0] * 4, 0)]
-    return near + odd + [(200, [3.0] * 8, 1), (200, [3.0] * 8, 1), (None, [3.0] * 8, 1), (201, [1e-30] * 8, 1), (202, [-3.0] * 8, 1), (None, None, 1)]
+    return near + odd + [(200, [3.0] * 8, 1), (200, [3.0] * 8, 1), (None, [3.0] * 8, 1), (201, [1e-30] * 8, 1), (202, [-3.0] * 8, 1), (None, None, 1), (2**62 + 5, [5.0, 1.0] * 4, 1), (2**63 - 1, [5.0, 1.0] * 4, 1), (-(2**63), [9.0, 1.8] * 4, 1)]
 
 
 def test_embedding_edges(spark, monkeypatch):
