@@ -38,12 +38,25 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def _streamed(messages: DataFrame) -> DataFrame:
+    """The log of events that leaves these messages (conv_id, msg, role, text): by turns streamed in two parts, edited once, and regenerated after a draft."""
+    half = F.ceil(F.length("text") / 2).cast("int")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.when(F.lit(kind != "delta"), F.col("role")).alias("role"), text.alias("text"))
+    first, rest, draft = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text")), F.lit("draft")
+    streamed = F.array(event("message", first), event("delta", rest))
+    edited = F.array(event("message", draft), event("edit", F.col("text")))
+    again = F.array(event("message", draft), event("regenerate", first), event("delta", rest))
+    log = F.when(F.col("msg") % 3 == 0, streamed).when(F.col("msg") % 3 == 1, edited).otherwise(again)
+    return messages.select("conv_id", "msg", F.posexplode(log).alias("k", "event")).select("conv_id", (4 * F.col("msg") + F.col("k")).alias("seq"), "msg", "event.*")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as logs of deltas, edits and regenerations (rows of equal turn by role and text), folded, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(PROBE_TEXT).alias("text")) for k, role in enumerate(("user", "assistant"))))))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     events = rows.union(probe).withColumn("msg", F.row_number().over(order).cast("long"))
-    events = events.select("conv_id", F.col("msg").alias("seq"), "msg", F.lit("message").alias("kind"), "role", "text")
+    events = _streamed(events)
     chats = chat_format.format_chats(events).withColumn("turns", chat_format.read_back(F.col("formatted")))
     chats = chats.withColumn("loss_text", F.array_join(chat_format.loss_texts(F.col("formatted"), F.col("loss")), ""))
     log = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

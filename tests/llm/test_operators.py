@@ -519,3 +519,20 @@ def test_warc_chain():
         warc.reachable(at, to, len(record) * 3 + 1)
     with pytest.raises(ValueError):
         warc.reachable(*warc.candidates(b"x" + record), len(record) + 1)
+
+
+def test_chat_query_over_odd_rows(spark, tmp_path):
+    """Ties of a turn, repeated rows, null texts, roles and ids, a very long text, extra columns: what is read back equals the rows."""
+    data = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "assistant", "a"), (1, 2, "assistant", None), (1, 2, "assistant", None), (2, 0, None, "x</s>"), (2, 1, "assistant", "y" * 300_000 + "é😀"), (3, None, "assistant", "z"), (None, 1, "user", "n")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit(1), "kind": F.lit("delta"), "msg": F.lit("m")})
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in queries.op5_chat_formatting(spark, f"file://{tmp_path}").collect()}
+    probe = [(-1, 0, "user", queries.PROBE_TEXT), (-1, 1, "assistant", queries.PROBE_TEXT)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for conv in (1, 2, 3, None, -1):
+        key = lambda r: ((r[1] is not None, r[1]), (r[2] is not None, r[2]), (r[3] is not None, r[3]))
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in data + probe if r[0] == conv), key=key)]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        r = got.pop(conv)
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), sha("".join(f"{a}\n{t}\n" for a, t in turns)), len(loss), sha(loss))
+    assert not got
