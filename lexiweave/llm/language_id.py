@@ -26,6 +26,7 @@ ROWS = 128_000  # the same bound for all labels together
 PIECES = 4  # places of a training row that windows are taken from
 EPOCHS, RATE, SEED = 20, 0.1, 7
 BATCH = 512
+STEPS = 160  # at least, so that a small sample is learned as surely as a large one
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -106,7 +107,9 @@ class ByteCNN:
         return np.concatenate([np.maximum(self.features(x[:, i : i + batch]), 0) @ self.V + self.b for i in range(0, max(1, x.shape[1]), batch)])
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> None:
-        """Mini-batch Adam on the mean cross-entropy."""
+        """Mini-batch Adam on the mean cross-entropy; more epochs where fewer than STEPS steps would be made."""
+        parts = max(1, x.shape[1] // BATCH)
+        epochs = max(epochs, -(-STEPS // parts))
         rng = np.random.default_rng(seed)
         state: dict = {}
         step = 0
@@ -118,7 +121,7 @@ class ByteCNN:
             value -= rate * 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
         for _ in range(epochs):
-            for part in np.array_split(rng.permutation(x.shape[1]), max(1, x.shape[1] // BATCH)):
+            for part in np.array_split(rng.permutation(x.shape[1]), parts):
                 step += 1
                 xb, yb, n = x[:, part], y[part], len(part)
                 self._tables = None

@@ -279,6 +279,18 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_language_id_learns_from_distinct_texts(spark):
+    """A label whose rows are mostly copies of one text is learned like others; clashing columns are replaced."""
+    rng = random.Random(2)
+    words = {"en": "the of and to in that was with for this house water river".split(), "fr": "le les des une dans que pour avec cette maison rivière être où".split()}
+    text = lambda k: " ".join(rng.choice(words[k]) for _ in range(40))
+    common = text("fr")
+    data = [(i, text("en"), "en") for i in range(1500)] + [(5000 + i, common, "fr") for i in range(1500)] + [(9000 + i, text("fr"), "fr") for i in range(30)]
+    docs = spark.createDataFrame([(i, t, k, "s", 0) for i, t, k in data], DOCS).withColumns({"lang_pred": F.lit("x"), "score": F.lit("y"), "h": F.lit(0), "label": F.lit("z"), "n": F.lit(1)})
+    got = language_id.predict(docs, language_id.fit(docs)).select("lang", "lang_pred").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.99
+
+
 def test_language_id_edges(spark):
     docs = spark.createDataFrame([(i, t, "en" if i is None or i % 2 else None, "s", 0) for i, t in odd_texts()], DOCS)
     model = language_id.fit(docs)
