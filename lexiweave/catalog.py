@@ -96,10 +96,10 @@ def block_compress_deflate(spark, sf_dir):
 
 
 def space_accounting(spark, sf_dir):
-    """One row a codec, of those that need no training."""
+    """One row a codec."""
     off = offsets(spark, sf_dir)
     out = None
-    for key in ("raw", "lz4", "snappy", "zstd", "deflate", "deflate_individual"):
+    for key in CODECS:
         one = engine.space(engine.compress(off, key))
         out = one if out is None else out.unionByName(one)
     return out
@@ -120,6 +120,10 @@ def profile_avg_lcp(spark, sf_dir):
     return profile.adjacent_prefixes(collection(spark, sf_dir))
 
 
+def profile_printed(spark, sf_dir):
+    return profile.printed(collection(spark, sf_dir), "documents")
+
+
 # results: events stand for measurements
 
 
@@ -223,7 +227,7 @@ def bitvector_writes(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        collection_offsets, in_block_delimiters, block_lookup, query_workload, block_compress_deflate, space_accounting, profile_basics, profile_alphabet, profile_avg_lcp, report_by_dataset, report_overall, report_full,
+        collection_offsets, in_block_delimiters, block_lookup, query_workload, block_compress_deflate, space_accounting, profile_basics, profile_alphabet, profile_avg_lcp, profile_printed, report_by_dataset, report_overall, report_full,
         suite_plan, etl_tsv_col2, etl_url_filter, etl_json_field, etl_literal_extract, etl_limit, etl_strip_nonempty, common_prefix, metric_functions, bitvector_reads, bitvector_writes,
     )
 }
@@ -250,7 +254,7 @@ def _metadata_sql(limit: int) -> str:
     return _blocks(limit) + "SELECT block_id, min(pos) AS first_pos, count(*) AS n_items, max(pos) + 1 AS items_psum, CAST(sum(size) AS BIGINT) AS raw_bytes FROM m GROUP BY block_id"
 
 
-_WORKLOAD = f"q AS (SELECT i AS qid, (i * 7919 + 13) % (SELECT count(*) FROM documents) AS idx FROM range({LOOKUPS}) t(i))"
+_WORKLOAD = f"q AS (SELECT i AS qid, (i * 2654435761 + 13) % (SELECT count(*) FROM documents) AS idx FROM range({LOOKUPS}) t(i))"
 _RESULTS = """r AS (SELECT 'set' || CAST(user_id % 7 AS VARCHAR) || '.json' AS dataset_name, event_type AS compressor_name, floor(value * 8) AS compression_rate, CAST(event_id % 997 AS DOUBLE) AS compression_speed,
   CAST((event_id * 31) % 1009 AS DOUBLE) AS decompression_speed, (event_id * 17) % 4001 AS t FROM events),
 a AS (SELECT compressor_name, dataset_name, avg(compression_rate) AS compression_rate, avg(compression_speed) AS compression_speed, avg(decompression_speed) AS decompression_speed, CAST(floor(avg(t)) AS BIGINT) AS average_random_access_time FROM r GROUP BY ALL),
@@ -290,6 +294,8 @@ SELECT page_id, CASE WHEN h = p THEN length(h) // 2 ELSE (list_position(list_tra
   CASE WHEN strpos(substr(s, 6), '1') > 0 THEN CAST(strpos(substr(s, 6), '1') + 4 AS INTEGER) END AS next, CASE WHEN strpos(reverse(left(s, 9)), '1') > 0 THEN CAST(9 - strpos(reverse(left(s, 9)), '1') AS INTEGER) END AS prev, CAST(length(replace(s, '0', '')) AS INTEGER) AS ones FROM b""",
     "bitvector_writes": "SELECT s_suppkey, CAST(1 + (s_suppkey % 4096) * 8 + 32768 + 65536 AS BIGINT) AS value, 18 AS n, CAST(1 + (s_suppkey % 4096) * 8 + 32768 + 65536 AS BIGINT) AS word FROM supplier",
 }
+ORACLES["profile_printed"] = f"""SELECT 'documents' AS file, format('{{:,}}', n) AS count_n, printf('%.2f', unique_pct) || '%' AS "unique", printf('%.2f', avg_bytes) || ' bytes' AS avg_length, CAST(alphabet AS VARCHAR) AS alphabet_size,
+  printf('%.2f', avg_lcp) || ' bytes' AS avg_lcp FROM ({ORACLES["profile_basics"]}), ({ORACLES["profile_alphabet"]}), ({ORACLES["profile_avg_lcp"]})"""
 for _key in CODECS:
     ORACLES |= {
         f"roundtrip_{_key}": "SELECT doc_id, text FROM documents",

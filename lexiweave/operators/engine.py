@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.codecs.dictionary import TRAIN_BYTES, PairTokens, SymbolTable
+from lexiweave.codecs.dictionary import TRAIN_BYTES, PairConfig, PairTokens, SymbolTable, parts
 from lexiweave.codecs.registry import BLOCK_METADATA, Codec, find
 from lexiweave.operators.layout import BATCH, block_ids, find_block, with_blocks, with_offsets
 
@@ -29,6 +29,7 @@ class Encoded:
     tables: object = None  # broadcast dictionary of a trained codec; batches carry theirs in `dicts`
     dicts: DataFrame | None = None
     dict_bytes: int = 0
+    width: int | None = None  # of a stored encoding: positions a folder `span` holds
 
 
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -77,24 +78,60 @@ def _encode_strings(encode):
     return run
 
 
-def training_sample(offsets: DataFrame, rows: int = SAMPLE_ROWS) -> list[bytes]:
-    """At most `rows` values of TRAIN_BYTES // 64 bytes each, chosen by a hash of the position: the same for the same collection."""
-    few = offsets.orderBy(F.xxhash64("pos")).limit(rows).select(F.substring(F.col("value").cast("binary"), 1, TRAIN_BYTES // 64).alias("v"))
+def _encode_trained(table):
+    def run(batches):
+        for batch in batches:
+            pos, values = batch.column(0), batch.column(1)
+            for k, n in _slices(values):
+                own = values.slice(k, n)
+                yield _trained_batch(pos.slice(k, n), own, table.encode_all(own), pa.nulls(n, pa.int64()))
+
+    return run
+
+
+def _slices(values: pa.Array, limit: int = 16 << 20):
+    """(first, count) of runs of values of about `limit` bytes, so that codes stay far below what an array can hold."""
+    _, ends = parts(values)
+    k = 0
+    while k < len(values):
+        to = max(k + 1, int(np.searchsorted(ends, ends[k] + limit, side="right")) - 1)
+        yield k, to - k
+        k = to
+
+
+def _trained_batch(pos: pa.Array, values: pa.Array, payload: pa.Array, dict_id: pa.Array) -> pa.RecordBatch:
+    sizes, n = pa.array(np.diff(parts(values)[1])), len(values)
+    ends = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), sizes)
+    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+    return pa.record_batch([pos, pos, pa.array(np.ones(n, np.int64)), sizes, payload, ends, dict_id], names=names)
+
+
+def training_sample(offsets: DataFrame, rows: int = SAMPLE_ROWS, budget: int = TRAIN_BYTES) -> list[bytes]:
+    """About `budget` bytes in pieces of at most `rows` values, at least 256 bytes each where they have them.
+
+    Values and the places of their pieces are chosen by hashes of the position: the same for the same collection.
+    """
+    n = offsets.count()
+    piece = max(256, -(-budget // max(1, min(n, rows))))
+    few = offsets.orderBy(F.xxhash64("pos")).limit(min(rows, -(-budget // piece) * 4))
+    place = F.pmod(F.xxhash64("pos", F.lit(1)), F.greatest(F.col("size") - piece + 1, F.lit(1))) + 1
     got, size = [], 0
-    for r in few.toLocalIterator():
+    for r in few.select(F.substring(F.col("value").cast("binary"), place.cast("int"), F.lit(piece)).alias("v")).toLocalIterator():
         got.append(bytes(r["v"]))
         size += len(got[-1])
-        if size >= TRAIN_BYTES:
+        if size >= budget:
             break
     return got
 
 
-def compress(offsets: DataFrame, key: str, train=None) -> Encoded:
+def compress(offsets: DataFrame, key: str, train=None, config: PairConfig | None = None) -> Encoded:
     """Encode a collection with offsets (pos, value, bucket, start, end, size).
 
-    train: an already trained dictionary, for codecs that have one.
+    train: an already trained dictionary, for codecs that have one. config: how onpair finds its tokens.
     """
     codec = find(key)
+    if config is not None and key != "onpair":
+        raise ValueError(f"{key} takes no configuration")
     if codec.unit == "block":
         blocks = with_blocks(offsets).select("block_id", "pos", F.col("value").cast("binary").alias("value"))
         placed = blocks.repartition("block_id").sortWithinPartitions("block_id", "pos")
@@ -103,28 +140,36 @@ def compress(offsets: DataFrame, key: str, train=None) -> Encoded:
     if codec.unit == "string":
         return Encoded(codec, rows.mapInArrow(_encode_strings(codec.encode), SEGMENTS))
     if codec.unit == "trained":
-        kind = PairTokens if key == "onpair" else SymbolTable
-        table = train or kind.train(training_sample(offsets))
+        if train is None:
+            sample = training_sample(offsets)
+            train = PairTokens.train(sample, config or PairConfig()) if key == "onpair" else SymbolTable.train(sample)
+        table = train
         shared = offsets.sparkSession.sparkContext.broadcast(table)
         size = table.dict_bytes if key == "onpair" else SymbolTable.DICT_BYTES
-        return Encoded(codec, rows.mapInArrow(lambda batches: _encode_strings(shared.value.encode)(batches), SEGMENTS), tables=shared, dict_bytes=size)
+        return Encoded(codec, rows.mapInArrow(lambda batches: _encode_trained(shared.value)(batches), SEGMENTS), tables=shared, dict_bytes=size)
     batched = offsets.join(block_ids(offsets, BATCH).withColumnRenamed("block_id", "dict_id"), "pos").select("dict_id", "pos", F.col("value").cast("binary").alias("value"))
 
     def per_batch(key_, group):
-        order = np.argsort(group.column("pos").to_numpy())
-        values = [group.column("value")[int(k)].as_py() for k in order]
-        table = SymbolTable.train(values[:: max(1, len(values) // 256)])
-        pos, d = group.column("pos").to_numpy()[order], key_[0].as_py()
-        names = [x.split()[0] for x in SEGMENTS.split(", ")]
-        types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.int64()]
+        group = group.sort_by("pos").combine_chunks()
+        pos, values = (group.column(c).combine_chunks() for c in ("pos", "value"))
+        table = SymbolTable.train(_pieces(values))
         symbols = b"".join(bytes([len(s)]) + s for s in table.symbols)  # the row of segment -1 has the batch's dictionary
-        cols = [[*pos.tolist(), -1], [*pos.tolist(), -1], [1] * len(pos) + [0], [*map(len, values), 0], [*map(table.encode, values), symbols], [*([len(v)] for v in values), []], [d] * (len(pos) + 1)]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        rows = _trained_batch(pos, values, table.encode_all(values), pa.array(np.full(len(pos), key_[0].as_py(), np.int64)))
+        return pa.Table.from_batches([rows, _segment_batch([(-1, -1, 0, 0, symbols, [], key_[0].as_py())])])
 
     both = batched.groupBy("dict_id").applyInArrow(per_batch, SEGMENTS)
     return Encoded(codec, both.where("segment_id >= 0"), dicts=both.where("segment_id < 0").select("dict_id", F.col("payload").alias("entries")), dict_bytes=SymbolTable.DICT_BYTES)
 
 
+def _pieces(values: pa.Array, count: int = 64) -> list[bytes]:
+    """Pieces of 256 bytes from evenly spaced places of all values together, none over a value's end."""
+    data, ends = parts(values)
+    out = []
+    for k in np.unique(np.linspace(0, max(len(data) - 1, 0), count).astype(np.int64)).tolist() if len(data) else ():
+        out.append(data[k : min(k + 256, int(ends[np.searchsorted(ends, k, side="right")]))].tobytes())
+    return out
+
+
 def parse_symbols(entries: bytes) -> SymbolTable:
     out, i = [], 0
     while i < len(entries):
@@ -160,15 +205,38 @@ def _decoder(encoded: Encoded):
     return lambda payload, size, entries: codec.decode(payload, size)
 
 
+def _decode_trained(table, first: pa.Array, size: pa.Array, payload: pa.Array):
+    for k, n in _slices(payload, 4 << 20):
+        values = table.decode_all(payload.slice(k, n), size.slice(k, n).to_numpy())
+        yield pa.record_batch([first.slice(k, n), values], names=["pos", "value"])
+
+
 def decompress(encoded: Encoded) -> DataFrame:
     """(pos, value) of all items, in no particular order."""
-    decode = _decoder(encoded)
+    schema, columns = "pos long, value binary", ("first_pos", "raw_bytes", "payload")
+    if encoded.codec.unit == "trained":
+        shared = encoded.tables
+
+        def trained(batches):
+            for batch in batches:
+                yield from _decode_trained(shared.value, *batch.columns)
+
+        return encoded.segments.select(*columns).mapInArrow(trained, schema)
+    if encoded.codec.unit == "trained_batch":  # a dictionary meets its own batch's rows once
+
+        def batch_of(rows, dicts):
+            table = parse_symbols(dicts.column("entries")[0].as_py())
+            got = _decode_trained(table, *(rows.column(c).combine_chunks() for c in columns))
+            return pa.Table.from_batches(list(got), schema=pa.schema([("pos", pa.int64()), ("value", pa.binary())]))
+
+        return encoded.segments.select("dict_id", *columns).groupBy("dict_id").cogroup(encoded.dicts.select(F.col("dict_id").alias("of"), "entries").groupBy("of")).applyInArrow(batch_of, schema)
+    codec = encoded.codec
 
     def run(batches):
         for batch in batches:
             pos, values, held = [], [], 0
-            for first, size, payload, ends, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, at = decode(payload, size, entries), 0
+            for first, size, payload, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, at = codec.decode(payload, size), 0
                 for k, e in enumerate(ends):
                     pos.append(first + k)
                     values.append(data[at:e])
@@ -180,7 +248,41 @@ def decompress(encoded: Encoded) -> DataFrame:
             if pos:
                 yield pa.record_batch([pa.array(pos, pa.int64()), pa.array(values, pa.binary())], names=["pos", "value"])
 
-    return _items(encoded).select("first_pos", "raw_bytes", "payload", "item_ends", "entries").mapInArrow(run, "pos long, value binary")
+    return encoded.segments.select(*columns, "item_ends").mapInArrow(run, schema)
+
+
+SPAN, SPANS = 1 << 16, 2_000  # positions of a stored folder at least, folders at most
+
+
+def store(encoded: Encoded, path: str) -> None:
+    """Write an encoding as Parquet under `path`, which must not exist: segments in folders of consecutive positions, dictionaries beside them.
+
+    lookup() on what load() gives reads only the folders it needs.
+    """
+    spark = encoded.segments.sparkSession
+    # A trained dictionary isn't larger than 2**16 tokens of 16 bytes; batches' dictionaries stay a table.
+    tokens = [] if encoded.tables is None else getattr(encoded.tables.value, "tokens", None) or encoded.tables.value.symbols
+    n = encoded.segments.agg(F.coalesce(F.max("first_pos"), F.lit(0))).first()[0] + 1
+    width = max(SPAN, -(-n // SPANS))
+    placed = encoded.segments.withColumn("span", F.floor(F.col("first_pos") / width)).repartition("span").sortWithinPartitions("span", "first_pos")
+    placed.write.partitionBy("span").parquet(f"{path}/segments")
+    if encoded.dicts is not None:
+        encoded.dicts.write.parquet(f"{path}/dicts")
+    about = [(encoded.codec.key, encoded.dict_bytes, width, [bytearray(t) for t in tokens])]
+    spark.createDataFrame(about, "codec string, dict_bytes long, width long, tokens array<binary>").coalesce(1).write.parquet(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> Encoded:
+    """An encoding that store() wrote, ready for decompress, lookup and space."""
+    about = spark.read.parquet(f"{path}/about").first()
+    codec = find(about["codec"])
+    segments = spark.read.schema(f"{SEGMENTS}, span long").parquet(f"{path}/segments")
+    tables = None
+    if codec.unit == "trained":
+        kind = PairTokens if codec.key == "onpair" else SymbolTable
+        tables = spark.sparkContext.broadcast(kind([bytes(t) for t in about["tokens"]]))
+    dicts = spark.read.schema("dict_id long, entries binary").parquet(f"{path}/dicts") if codec.unit == "trained_batch" else None
+    return Encoded(codec, segments, tables, dicts, about["dict_bytes"], about["width"])
 
 
 def lookup(encoded: Encoded, queries: DataFrame) -> DataFrame:
@@ -195,7 +297,15 @@ def lookup(encoded: Encoded, queries: DataFrame) -> DataFrame:
         found = find_block(queries, meta).select(F.col("block_id").alias("segment_id"), "qid", "idx")
     else:
         found = queries.select(F.col("idx").alias("segment_id"), "qid", "idx")
-    asked = found.groupBy("segment_id").agg(F.collect_list(F.struct("qid", "idx")).alias("asked"))
+    on = ["segment_id"]
+    if encoded.width is not None:
+        on.append("span")
+        if encoded.codec.unit == "block":
+            found = found.join(encoded.segments.select("segment_id", "span"), "segment_id")
+        else:
+            found = found.withColumn("span", F.floor(F.col("idx") / encoded.width))
+        found = found.where("span >= 0")  # a filter, by which Spark knows that pruning the folders pays
+    asked = found.groupBy(*on).agg(F.collect_list(F.struct("qid", "idx")).alias("asked"))
 
     def run(batches):
         for batch in batches:
@@ -208,7 +318,7 @@ def lookup(encoded: Encoded, queries: DataFrame) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["qid", "idx", "value"])
 
-    joined = items.join(asked, "segment_id").select("first_pos", "raw_bytes", "payload", "item_ends", "entries", "asked")
+    joined = items.join(asked, on).select("first_pos", "raw_bytes", "payload", "item_ends", "entries", "asked")
     return joined.mapInArrow(run, "qid long, idx long, value binary")
 
 
@@ -240,8 +350,8 @@ def query_workload(collection: DataFrame, queries: int, seed: int | None = None)
     spark = collection.sparkSession
     if not n:
         return spark.range(0).select(F.col("id").alias("qid"), F.col("id").alias("idx"))
-    idx = F.pmod(F.col("id") * 7919 + 13, F.lit(n)) if seed is None else F.least(F.floor(F.rand(seed) * n), F.lit(n - 1))
+    idx = F.pmod(F.col("id") * 2654435761 + 13, F.lit(n)) if seed is None else F.least(F.floor(F.rand(seed) * n), F.lit(n - 1))
     return spark.range(queries).select(F.col("id").alias("qid"), idx.cast("long").alias("idx"))
 
 
-__all__ = ["Encoded", "compress", "decompress", "lookup", "query_workload", "space", "training_sample", "verify", "with_offsets"]
+__all__ = ["Encoded", "compress", "decompress", "load", "lookup", "query_workload", "space", "store", "training_sample", "verify", "with_offsets"]

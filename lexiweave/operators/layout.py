@@ -1,29 +1,36 @@
 """Positions, byte offsets and size-bounded blocks of an ordered collection.
 
-Ids are dealt to buckets of consecutive ids. Running sums inside a bucket are a window; the buckets' totals are a
+Ids are dealt to buckets of consecutive ids: of equal ranges where they are dense, else between quantiles. Running sums inside a bucket are a window; the buckets' totals are a
 small table with a running sum of its own. So no task orders the whole collection.
 
 Greedy packing is a running sum with resets. A bucket's effect on it depends on one number, the offset where the
 block that is open at its start began. Every bucket tabulates, for the items at which a block may first
-begin in it, where the last block in it begins and how many begin; one task walks these tables, a row a bucket, and
-each bucket then knows its blocks.
+begin in it, where the last block in it begins and how many begin; one task reads these tables in order, one after the
+other, and each bucket then knows its blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1 << 16  # ids
+BUCKET = 1 << 16  # rows
+BUCKETS = 8192  # at most, where ids are sparse
 BLOCK = 64 * 1024  # bytes
 BATCH = 4 * 1024 * 1024
 
 
 def with_offsets(df: DataFrame, id_column: str = "id", value: str = "value", bucket: int = BUCKET) -> DataFrame:
-    """df with pos (0-based), start and end (byte offsets) in the order of its unique ids, and bucket."""
-    df = df.withColumn("bucket", F.floor(F.col(id_column) / bucket).cast("long")).withColumn("size", F.octet_length(value).cast("long"))
+    """df with pos (0-based), start and end (byte offsets) in the order of its unique ids, and bucket.
+
+    bucket: rows a bucket should have. A null id is an error; a null value takes no bytes.
+    """
+    refused = F.raise_error(F.lit(f"null in {id_column}, which orders the collection")).cast("long")
+    df = _bucketed(df, id_column, bucket).withColumn("bucket", F.when(F.col(id_column).isNull(), refused).otherwise(F.col("bucket")))
+    df = df.withColumn("size", F.coalesce(F.octet_length(value).cast("long"), F.lit(0)))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("items"))
     bases = totals.select("bucket", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte_base"), F.coalesce(F.sum("items").over(before), F.lit(0)).alias("item_base"))
@@ -34,6 +41,22 @@ def with_offsets(df: DataFrame, id_column: str = "id", value: str = "value", buc
     return out.withColumns({"pos": F.col("item_base") + F.col("number"), "end": F.col("byte_base") + F.col("upto")}).withColumn("start", F.col("end") - F.col("size")).drop("upto", "number", "item_base", "byte_base")
 
 
+def _bucketed(df: DataFrame, id_column: str, rows: int) -> DataFrame:
+    """df with bucket, which never falls as ids grow. One pass over the ids where they are dense, a second where they aren't."""
+    about = df.agg(F.count(id_column).alias("n"), F.min(id_column).alias("low"), F.max(id_column).alias("high")).first()
+    number, n = F.col(id_column), about["n"]
+    if not n or about["high"] - about["low"] < 4 * n:
+        return df.withColumn("bucket", F.floor(number / rows).cast("long"))
+    count = min(BUCKETS, -(-n // rows))
+    # Doubles join neighbours beyond 2**53 but never swap them.
+    borders = sorted(set(df.approxQuantile(id_column, [k / count for k in range(1, count)], 0.25 / count))) if count > 1 else []
+    if not borders:
+        return df.withColumn("bucket", F.lit(0).cast("long"))
+    inf = float("inf")
+    cut = Bucketizer(splits=[-inf, *borders, inf], inputCol=id_column, outputCol="bucket", handleInvalid="keep")
+    return cut.transform(df.drop("bucket")).withColumn("bucket", F.col("bucket").cast("long"))
+
+
 def _chains(start: np.ndarray, end: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """For each item as the beginning of a block: the item at which the last block of the bucket begins, and how many begin from here on."""
     n = len(start)
@@ -64,17 +87,19 @@ def _tabulate(limit):
 
 
 def _walk(limit):
-    def run(group):
-        buckets = group.column("bucket").to_numpy()
-        out, opened, blocks = [], None, 0
-        for k in np.argsort(buckets):
-            ends, lasts, counts = (np.frombuffer(group.column(c)[int(k)].as_py(), np.int64) for c in ("ends", "lasts", "counts"))
-            out.append((int(buckets[k]), opened, blocks))
-            at = 0 if opened is None else int(np.searchsorted(ends, opened + limit, side="right"))
-            if at < len(ends):
-                opened, blocks = int(lasts[at]), blocks + int(counts[at])
-        b, o, n = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"bucket": pa.array(b, pa.int64()), "opened": pa.array(o, pa.int64()), "blocks": pa.array(n, pa.int64())})
+    def run(batches):
+        """Tables of all buckets in order; only a batch of them is held."""
+        opened, blocks = None, 0
+        for batch in batches:
+            out = []
+            for bucket, *table in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ends, lasts, counts = (np.frombuffer(x, np.int64) for x in table)
+                out.append((bucket, opened, blocks))
+                at = 0 if opened is None else int(np.searchsorted(ends, opened + limit, side="right"))
+                if at < len(ends):
+                    opened, blocks = int(lasts[at]), blocks + int(counts[at])
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["bucket", "opened", "blocks"])
 
     return run
 
@@ -103,7 +128,7 @@ def block_ids(offsets: DataFrame, limit: int = BLOCK) -> DataFrame:
     """
     items = offsets.select("bucket", "pos", "start", "end")
     tables = items.groupBy("bucket").applyInArrow(_tabulate(limit), "bucket long, ends binary, lasts binary, counts binary")
-    states = tables.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_walk(limit), "bucket long, opened long, blocks long")
+    states = tables.repartition(1).sortWithinPartitions("bucket").mapInArrow(_walk(limit), "bucket long, opened long, blocks long")
     return items.groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(_assign(limit), "pos long, block_id long")
 
 

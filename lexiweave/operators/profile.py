@@ -71,3 +71,13 @@ def adjacent_prefixes(df: DataFrame, value: str = "value") -> DataFrame:
         return pa.table({"lcp_sum": [total], "pairs": [pairs], "avg_lcp": [total / pairs if pairs else 0.0]})
 
     return parts.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(stitch, "lcp_sum long, pairs long, avg_lcp double")
+
+
+def printed(df: DataFrame, file: str, value: str = "value") -> DataFrame:
+    """One row with the whole profile as text: file, count with separators of thousands, and the rest to two decimals."""
+    one = basics(df, value).crossJoin(alphabet(df, value)).crossJoin(adjacent_prefixes(df, value))  # of one row each
+    two = lambda c: F.format_string("%.2f", F.coalesce(c, F.lit(0.0)))
+    return one.select(
+        F.lit(file).alias("file"), F.format_number("n", 0).alias("count_n"), F.concat(two(F.col("unique_pct")), F.lit("%")).alias("unique"), F.concat(two(F.col("avg_bytes")), F.lit(" bytes")).alias("avg_length"),
+        F.col("alphabet").cast("string").alias("alphabet_size"), F.concat(two(F.col("avg_lcp")), F.lit(" bytes")).alias("avg_lcp"),
+    )

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.codecs.registry import CODECS, find
-from lexiweave.operators import engine
+from lexiweave.operators import engine, report
 from lexiweave.operators.layout import with_offsets
-from lexiweave.sources.results import SCHEMA
+from lexiweave.sources.json_array import list_datasets, read_json_array
+from lexiweave.sources.results import SCHEMA, append_results, read_results
 
 SUITE = ("raw", "onpair", "fsst")
 ITERATIONS = 3
@@ -62,4 +64,22 @@ def run(spark: SparkSession, collections: dict[str, DataFrame], codecs: tuple[st
     return spark.createDataFrame(rows, SCHEMA)
 
 
-__all__ = ["CODECS", "measure", "plan", "run"]
+def run_folder(spark: SparkSession, folder: str, log: str, codecs: tuple[str, ...] = SUITE, iterations: int = ITERATIONS, queries: int = 1_000) -> tuple[DataFrame, list[tuple]]:
+    """Run a suite over a folder's *.json datasets by path, appending each result to `log` at once.
+
+    A run that fails doesn't end the suite and leaves no result. Returns the full report on all of the log, earlier
+    results included, and the failed runs as (dataset_name, codec, iteration, message).
+    """
+    failed = []
+    for dataset in list_datasets(spark, folder).collect():  # file names, not contents
+        for codec in codecs:
+            for k in range(iterations):
+                try:
+                    row = measure(read_json_array(spark, dataset["path"]), dataset["name"], codec, queries)
+                    append_results(spark.createDataFrame([row], SCHEMA), log)
+                except (PySparkException, ValueError) as e:
+                    failed.append((dataset["name"], codec, k, str(e)))
+    return report.full(read_results(spark, log)), failed
+
+
+__all__ = ["CODECS", "measure", "plan", "run", "run_folder"]

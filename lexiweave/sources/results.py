@@ -1,4 +1,4 @@
-"""The log of measurements."""
+"""The log of measurements: a folder of files that are each a JSON array of result objects, one for each append."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ SCHEMA = "dataset_name string, compressor_name string, compression_rate double,
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of result objects; no rows when the path doesn't exist; malformed JSON is an error."""
+    """The results of a log, or of one file with a JSON array; no rows when the path doesn't exist; malformed JSON is an error."""
     try:
         return spark.read.schema(SCHEMA).json(path, multiLine=True, mode="FAILFAST")
     except AnalysisException as e:
@@ -24,13 +24,18 @@ def six_digits(v):
     return F.when(F.abs(v) < float("inf"), F.format_string("%.5e", v).cast("double"))
 
 
+def _one_array(results: DataFrame, path: str, mode: str) -> None:
+    """Small by nature: a row a run."""
+    fields = [f.split()[0] for f in SCHEMA.split(", ")]
+    results.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("value")).coalesce(1).write.mode(mode).text(path)
+
+
 def append_results(results: DataFrame, path: str) -> None:
-    """Append to a Parquet log, with speeds and rates to six significant digits."""
+    """Append to a log that read_results reads, with speeds and rates to six significant digits."""
     rates = {c: six_digits(F.col(c)) for c in ("compression_rate", "compression_speed", "decompression_speed")}
-    results.withColumns(rates).write.mode("append").parquet(path)
+    _one_array(results.withColumns(rates), path, "append")
 
 
 def export_results(results: DataFrame, path: str) -> None:
-    """The log as one JSON array in one file, replacing what is there. Small by nature: a row a run."""
-    fields = [f.split()[0] for f in SCHEMA.split(", ")]
-    results.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The log as one JSON array in one file, replacing what is there."""
+    _one_array(results, path, "overwrite")

@@ -1,14 +1,16 @@
+import bz2
 import gzip
 import io
 import json
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiweave.codecs import registry
-from lexiweave.codecs.dictionary import PairTokens, SymbolTable
+from lexiweave.codecs import dictionary, registry
+from lexiweave.codecs.dictionary import PairConfig, PairTokens, SymbolTable
 from lexiweave.functions import bitvector as bv
 from lexiweave.functions import strings as S
 from lexiweave.operators import engine, etl, layout, profile, report
@@ -71,6 +73,66 @@ def test_dictionaries():
     assert SymbolTable.train([]).decode(SymbolTable.train([]).encode(b"ab")) == b"ab"
 
 
+def test_greedy_matches(monkeypatch):
+    """Against a plain loop, with windows and segments so small that every seam occurs."""
+    rng = np.random.default_rng(5)
+    words = [b"".join(rng.choice([b"ab", b"abc", b"c", b"\xff", b"bca", b"\x00"], k).tolist()) for k in rng.integers(0, 90, 60)]
+    for table in (SymbolTable.train(words[:9]), PairTokens.train(words[:30])):
+        known = {s: k for k, s in enumerate(getattr(table, "tokens", None) or table.symbols)}
+        for window, segment in ((1 << 22, 128), (64, 7), (5, 3)):
+            monkeypatch.setattr(dictionary, "WINDOW", window)
+            monkeypatch.setattr(dictionary, "SEGMENT", segment)
+            places, codes, before = table.matcher.tokens(*dictionary.parts(pa.array(words, pa.binary())))
+            want, base, counts = [], 0, [0]
+            for w in words:
+                i = 0
+                while i < len(w):
+                    m = next((m for m in range(min(16, len(w) - i), 0, -1) if w[i : i + m] in known), 0)
+                    want.append((base + i, known[w[i : i + m]] if m else -1))
+                    i += max(m, 1)
+                base += len(w)
+                counts.append(len(want))
+            assert list(zip(places.tolist(), codes.tolist(), strict=True)) == want and before.tolist() == counts
+        coded = table.encode_all(pa.array(words, pa.binary()))
+        assert table.decode_all(coded.slice(3, 9), np.array([len(w) for w in words[3:12]])).to_pylist() == words[3:12]
+        with pytest.raises(ValueError):
+            table.decode_all(coded, np.array([len(w) + 1 for w in words]))
+
+
+def test_pair_config():
+    words = [b"compress", b"compression", b"press"] * 400
+    few = PairTokens.train(words, PairConfig(bits=9, count=2))
+    assert len(few.tokens) <= 512 and few.decode(few.encode(b"compressions")) == b"compressions"
+    assert len(PairTokens.train(words, PairConfig(dynamic=0.15)).tokens) > 256
+    for bad in ({"bits": 17}, {"count": 0}, {"dynamic": 0.0}):
+        with pytest.raises(ValueError):
+            PairConfig(**bad)
+
+
+@pytest.mark.parametrize("key", ["zstd", "fsst", "fsst_block", "onpair"])
+def test_stored_encoding(spark, tmp_path, monkeypatch, key):
+    monkeypatch.setattr(engine, "SPAN", 40)
+    values = [b"value %d" % (k * k) for k in range(200)]
+    engine.store(engine.compress(layout.with_offsets(frame(spark, values)), key), f"{tmp_path}/e")
+    stored = engine.load(spark, f"{tmp_path}/e")
+    assert [bytes(r["value"]) for r in engine.decompress(stored).orderBy("pos").collect()] == values
+    found = engine.lookup(stored, spark.createDataFrame([(0, 3), (1, 170), (2, 999)], "qid long, idx long"))
+    assert {(r["qid"], bytes(r["value"])) for r in found.collect()} == {(0, values[3]), (1, values[170])}
+
+
+def test_sparse_ids(spark):
+    ids = sorted({int(x) for x in np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 300)} | set(range(50)) | {2**62, 2**62 + 1, 2**63 - 1})
+    df = spark.createDataFrame([(k, "x" * (k % 7)) for k in ids], "id long, value string").repartition(3)
+    off = layout.with_offsets(df, bucket=20)
+    got = off.orderBy("pos").collect()
+    ends = np.cumsum([k % 7 for k in ids]).tolist()
+    assert [(r["id"], r["pos"], r["end"]) for r in got] == [(k, n, e) for n, (k, e) in enumerate(zip(ids, ends, strict=True))]
+    assert len({r["bucket"] for r in got}) > 5
+    assert [r["block_id"] for r in layout.block_ids(off, 40).orderBy("pos").collect()] == greedy([b"x" * (k % 7) for k in ids], 40)
+    with pytest.raises(Exception, match="which orders the collection"):
+        layout.with_offsets(spark.createDataFrame([(1, "a"), (None, "b")], "id long, value string")).collect()
+
+
 def test_registry():
     assert len(registry.CODECS) == 11
     with pytest.raises(ValueError):
@@ -93,6 +155,7 @@ def test_json_arrays(spark, tmp_path):
             json_array.read_json_array(spark, f"{tmp_path}/bad{k}.jsonx").collect()
         assert json_array.read_json_array(spark, f"{tmp_path}/bad{k}.jsonx", "skip").count() == 0
     json_array.write_json_array(spark.createDataFrame([(1, "b"), (0, 'a"')], "id long, value string"), f"{tmp_path}/out")
+    json_array.write_json_array(spark.createDataFrame([(1, "other")], "id long, value string"), f"{tmp_path}/out", mode="ignore")
     (part,) = (tmp_path / "out").glob("part-*")
     assert json.loads(part.read_text()) == ['a"', "b"]
 
@@ -105,6 +168,8 @@ def test_archives(spark, tmp_path):
             tar.addfile(info, io.BytesIO(text.encode()))
     got = archives.read_tar_lines(spark, f"{tmp_path}/q.tar.gz").orderBy("member", "line").collect()
     assert [r["value"] for r in got] == ["3\tthree", "1\tone", "2\ttwo"]
+    (tmp_path / "l.bz2").write_bytes(bz2.compress(b"c\nd"))
+    assert [r["value"] for r in archives.read_lines(spark, f"{tmp_path}/l.bz2").collect()] == ["c", "d"]
     (tmp_path / "l.gz").write_bytes(gzip.compress(b"a\n\nb\n"))
     assert [r["value"] for r in archives.read_lines(spark, f"{tmp_path}/l.gz").collect()] == ["a", "", "b"]
 
@@ -115,7 +180,7 @@ def test_results(spark, tmp_path):
     df = spark.createDataFrame([row], results.SCHEMA)
     results.append_results(df, f"{tmp_path}/log")
     results.append_results(df, f"{tmp_path}/log")
-    log = spark.read.parquet(f"{tmp_path}/log")
+    log = results.read_results(spark, f"{tmp_path}/log")
     assert [tuple(r) for r in log.collect()] == [("d.json", "Raw", 1.23457, None, 2.0, 7)] * 2
     results.export_results(log, f"{tmp_path}/export")
     assert results.read_results(spark, f"{tmp_path}/export").count() == 2
@@ -151,6 +216,7 @@ def test_profile(spark):
     assert (r["lcp_sum"], r["pairs"]) == (3 + 2 + 1, 5)
     assert profile.adjacent_prefixes(df.limit(1)).first()["avg_lcp"] == 0
     assert profile.alphabet(df).first()["alphabet"] == 7
+    assert tuple(profile.printed(df, "f").first()) == ("f", "6", "83.33%", "2.17 bytes", "7", "1.20 bytes")
     b = profile.basics(df).first()
     assert (b["n"], round(b["unique_pct"], 3)) == (6, 83.333)
     assert profile.basics(df.limit(0)).first()["avg_bytes"] is None
@@ -170,6 +236,16 @@ def test_suite(spark):
     assert [r["compressor_name"] for r in out] == ["Raw", "Zstd"] and out[0]["compression_rate"] == 1.0
 
 
+def test_suite_over_a_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(["some text", "more", ""] * 9))
+    (tmp_path / "in" / "b.json").write_text("[1, 2]")
+    table, failed = suite.run_folder(spark, f"{tmp_path}/in", f"{tmp_path}/log", codecs=("raw",), iterations=2, queries=5)
+    assert [(r["dataset_name"], r["compression_rate"]) for r in table.collect()] == [("a.json", 1.0), ("AVERAGE", 1.0)]
+    assert results.read_results(spark, f"{tmp_path}/log").count() == 2
+    assert [x[:3] for x in failed] == [("b.json", "raw", 0), ("b.json", "raw", 1)]
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "text"), (2, None)], "id long, value string").write.parquet(f"{tmp_path}/in")
     table = SymbolTable.train([b"text"] * 9)
