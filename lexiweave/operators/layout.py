@@ -17,16 +17,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1 << 16  # rows
+BUCKET = 1 << 16  # rows at most
 BUCKETS = 8192  # at most, where ids are sparse
 BLOCK = 64 * 1024  # bytes
 BATCH = 4 * 1024 * 1024
 
 
-def with_offsets(df: DataFrame, id_column: str = "id", value: str = "value", bucket: int = BUCKET) -> DataFrame:
+def with_offsets(df: DataFrame, id_column: str = "id", value: str = "value", bucket: int | None = None) -> DataFrame:
     """df with pos (0-based), start and end (byte offsets) in the order of its unique ids, and bucket.
 
-    bucket: rows a bucket should have. A null id is an error; a null value takes no bytes.
+    bucket: rows a bucket should have; by default about a thousandth of them, 1,024 at least and 65,536 at most. A null id is an error; a null value takes no bytes.
     """
     refused = F.raise_error(F.lit(f"null in {id_column}, which orders the collection")).cast("long")
     df = _bucketed(df, id_column, bucket).withColumn("bucket", F.when(F.col(id_column).isNull(), refused).otherwise(F.col("bucket")))
@@ -41,10 +41,11 @@ def with_offsets(df: DataFrame, id_column: str = "id", value: str = "value", buc
     return out.withColumns({"pos": F.col("item_base") + F.col("number"), "end": F.col("byte_base") + F.col("upto")}).withColumn("start", F.col("end") - F.col("size")).drop("upto", "number", "item_base", "byte_base")
 
 
-def _bucketed(df: DataFrame, id_column: str, rows: int) -> DataFrame:
+def _bucketed(df: DataFrame, id_column: str, rows: int | None) -> DataFrame:
     """df with bucket, which never falls as ids grow. One pass over the ids where they are dense, a second where they aren't."""
     about = df.agg(F.count(id_column).alias("n"), F.min(id_column).alias("low"), F.max(id_column).alias("high")).first()
     number, n = F.col(id_column), about["n"]
+    rows = rows or min(BUCKET, max(1024, n // 1024))
     if not n or about["high"] - about["low"] < 4 * n:
         return df.withColumn("bucket", F.floor(number / rows).cast("long"))
     count = min(BUCKETS, -(-n // rows))
