@@ -55,6 +55,8 @@ CODECS: dict[str, Codec] = {
     )
 }
 
+BUILT_IN = frozenset(CODECS)
+
 
 def find(key: str) -> Codec:
     if key not in CODECS:
@@ -67,3 +69,11 @@ def register(codec: Codec) -> None:
     if codec.key in CODECS:
         raise ValueError(f"codec {codec.key!r} exists")
     CODECS[codec.key] = codec
+
+
+def unregister(key: str) -> None:
+    """Take out a codec that was added; encodings made with it can still be decoded."""
+    find(key)
+    if key in BUILT_IN:
+        raise ValueError(f"codec {key!r} can't be taken out")
+    del CODECS[key]

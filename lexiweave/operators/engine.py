@@ -82,14 +82,14 @@ def _encode_trained(table):
     def run(batches):
         for batch in batches:
             pos, values = batch.column(0), batch.column(1)
-            for k, n in _slices(values):
+            for k, n in slices(values):
                 own = values.slice(k, n)
                 yield _trained_batch(pos.slice(k, n), own, table.encode_all(own), pa.nulls(n, pa.int64()))
 
     return run
 
 
-def _slices(values: pa.Array, limit: int = 16 << 20):
+def slices(values: pa.Array, limit: int = 16 << 20):
     """(first, count) of runs of values of about `limit` bytes, so that codes stay far below what an array can hold."""
     _, ends = parts(values)
     k = 0
@@ -206,7 +206,7 @@ def _decoder(encoded: Encoded):
 
 
 def _decode_trained(table, first: pa.Array, size: pa.Array, payload: pa.Array):
-    for k, n in _slices(payload, 4 << 20):
+    for k, n in slices(payload, 4 << 20):
         values = table.decode_all(payload.slice(k, n), size.slice(k, n).to_numpy())
         yield pa.record_batch([first.slice(k, n), values], names=["pos", "value"])
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -26,3 +28,14 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     for name, value in WORKER_MEMORY.items():
         env.setdefault(name, value)
     return spark
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path under spark.checkpoint.dir, which all machines share. Unset on a local master (tests): a temporary folder is set as it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="lexiweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

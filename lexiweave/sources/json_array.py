@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.functions.strings import file_name
+from lexiweave.sources.one_file import write_lines
 
 
 def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +35,23 @@ def read_json_array(spark: SparkSession, path: str, on_error: str = "raise") ->
     return checked.where("good").select("file", F.posexplode(F.from_json("value", "array<string>")).alias("id", "value")).withColumn("id", F.col("id").cast("long"))
 
 
+def array_lines(df: DataFrame, id_column: str = "id", value: str = "value") -> DataFrame:
+    """(value) lines that make up one JSON array of all values by id. One task sorts and writes them, but no row holds more than one string."""
+    quoted = F.to_json(F.array(F.col(value)))
+    items = df.select(F.lit(1).alias("k"), F.col(id_column).alias("id"), F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("v"))
+    ends = df.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(None).cast(df.schema[id_column].dataType).alias("id"), F.lit(v).alias("v")) for k, v in ((0, "["), (2, "]"))))))
+    ordered = items.union(ends).repartition(1).sortWithinPartitions("k", "id").withColumn("n", F.monotonically_increasing_id())
+    return ordered.select(F.concat(F.when((F.col("k") == 1) & (F.col("n") > 1), F.lit(",")).otherwise(F.lit("")), "v").alias("value"))
+
+
 def write_json_array(df: DataFrame, path: str, id_column: str = "id", value: str = "value", mode: str = "errorifexists") -> None:
-    """All values, by id, as one JSON array in one file. For exchange only: the array is one row, so it must fit in one."""
-    all_of_it = df.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(id_column, value))), lambda x: x[value])).alias("value"))
-    all_of_it.coalesce(1).write.mode(mode).text(path)
+    """All values, by id, as one JSON array in a folder with one file."""
+    array_lines(df, id_column, value).write.mode(mode).text(path)
+
+
+def write_dataset(df: DataFrame, folder: str, name: str, id_column: str = "id", value: str = "value", mode: str = "errorifexists") -> bool:
+    """All values, by id, as the dataset `folder/name` that list_datasets and read_json_array find; whether it was written.
+
+    With mode="ignore" a dataset that is there stays, with "overwrite" it is replaced.
+    """
+    return write_lines(array_lines(df, id_column, value), f"{folder}/{name}", mode)

@@ -3,20 +3,23 @@ import gzip
 import io
 import json
 import tarfile
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexiweave import file_catalog
 from lexiweave.codecs import dictionary, registry
 from lexiweave.codecs.dictionary import PairConfig, PairTokens, SymbolTable
 from lexiweave.functions import bitvector as bv
 from lexiweave.functions import strings as S
 from lexiweave.operators import engine, etl, layout, profile, report
 from lexiweave.plans import suite
-from lexiweave.sources import archives, json_array, results
-from lexiweave.streaming.encode import encode_stream
+from lexiweave.sources import archives, json_array, one_file, results
+from lexiweave.streaming.encode import decode_stream, encode_stream
 
 FIXTURES = {
     "empty": [],
@@ -255,3 +258,43 @@ def test_stream(spark, tmp_path):
     query.stop()
     got = {r["id"]: r["code"] for r in spark.table("coded").collect()}
     assert table.decode(bytes(got[1])) == b"text" and got[2] is None
+    back = {r["id"]: r["value"] for r in decode_stream(spark.table("coded").select("id", "code"), table).collect()}
+    assert bytes(back[1]) == b"text" and back[2] is None
+
+
+def test_datasets_are_files(spark, tmp_path):
+    odd = ['q"\n\\', "", None, "\u00e9", "[", ","]
+    df = spark.createDataFrame(list(enumerate(odd)), "id long, value string").repartition(4)
+    folder = f"file://{tmp_path}/d"
+    assert json_array.write_dataset(df, folder, "odd.json") and json.loads((tmp_path / "d/odd.json").read_text()) == odd
+    with pytest.raises(FileExistsError):
+        json_array.write_dataset(df, folder, "odd.json")
+    assert not json_array.write_dataset(df.limit(0), folder, "odd.json", mode="ignore")
+    assert json.loads((tmp_path / "d/odd.json").read_text()) == odd
+    assert json_array.write_dataset(df.limit(0), folder, "odd.json", mode="overwrite") and json.loads((tmp_path / "d/odd.json").read_text()) == []
+    assert [p.name for p in (tmp_path / "d").iterdir() if not p.name.startswith(".")] == ["odd.json"]
+    with pytest.raises(ValueError):
+        one_file.write_bytes(spark, b"", f"{folder}/x", mode="append")
+
+
+def test_added_codecs_can_be_taken_out():
+    with pytest.raises(ValueError):
+        registry.unregister("raw")
+    registry.register(registry.Codec("own", "Own", "string", bytes, lambda d, n: d))
+    registry.unregister("own")
+    assert len(registry.CODECS) == 11
+
+
+@pytest.mark.parametrize("name", sorted(file_catalog.QUERIES))
+def test_file_queries_against_sql(spark, name):
+    sf = Path("/root/testdata/sf0.001")
+    if not sf.exists():
+        pytest.skip("no tables")
+    db = duckdb.connect()
+    for f in sf.glob("*.parquet"):
+        db.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+    got = file_catalog.QUERIES[name](spark, str(sf))
+    want = db.execute(file_catalog.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
