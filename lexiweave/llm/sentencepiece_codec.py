@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentation and lossless decoding.
 
-A text, with a space put before it, is cut into units: each begins at a space, and an unbroken run is cut
-every UNIT bytes between characters. A unit's lattice has an edge for every vocabulary piece (spaces stand for
+A text, with a space put before it, is cut into units: each is a run of spaces and the unbroken run after it, and
+longer ones are cut every UNIT bytes between characters. Pieces with a space after another byte don't occur in units and are left out. A unit's lattice has an edge for every vocabulary piece (spaces stand for
 the piece mark) and one for every byte. Forward filtering sums path weights once for each distinct unit of a chunk; backward
 sampling draws each occurrence's path from its end. Random numbers are hashes of seed, row key, unit
 number and step, so a row's segmentation is the same in any partitioning and order.
@@ -50,7 +50,7 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 b = piece.replace(MARK, " ").encode()
                 self.bytes[i] = b
-                if b" " not in b[1:] and len(b) <= UNIT + 1:
+                if b" " not in b.lstrip(b" ") and len(b) <= UNIT:
                     usable.append((b, i))
                     weight[i] = max(lowest, -np.log(2.0 - scores[i])) if ranked else scores[i]
         if (self.byte_ids < 0).any():
@@ -117,7 +117,11 @@ def cut_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lead = [b" " + t if t else b"" for t in texts]
     buf = np.frombuffer(b"".join(lead), np.uint8)
     at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lead), np.int64, len(lead)))))
-    start = np.flatnonzero(buf == 0x20)
+    space = buf == 0x20
+    inner = np.zeros(len(buf), bool)
+    inner[1:] = space[:-1]
+    inner[at[:-1][at[:-1] < len(buf)]] = False
+    start = np.flatnonzero(space & ~inner)
     ends = np.append(start[1:], len(buf)) if len(start) else start
     ends = np.minimum(ends, at[np.minimum(np.searchsorted(at, start, side="right"), len(at) - 1)]) if len(start) else ends
     long = np.flatnonzero(ends - start > UNIT)

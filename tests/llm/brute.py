@@ -118,3 +118,105 @@ def near_vectors(rows, cosine=0.98):
         if r[0] is not None:
             low[root[k]] = min(low.get(root[k], r[0]), r[0])
     return [(r[0], count[k], low.get(root[k]), r[0] is not None and r[0] == low.get(root[k])) for k, r in enumerate(rows)]
+
+
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    """bytekit.mix of one number."""
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & MASK
+    return x ^ x >> 31
+
+
+class Segmenter:
+    """Forward filtering and backward sampling node by node, with pieces and weights read from the model anew."""
+
+    def __init__(self, path, unit=48):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        n, self.unit, self.pieces, self.bytes = sp.get_piece_size(), unit, {}, {}
+        for i in range(n):
+            name = sp.id_to_piece(i)
+            if sp.is_byte(i):
+                self.bytes[int(name[1:-1], 16)] = (i, math.exp(-5) / (n + 2))
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+                self.pieces[name.replace("\u2581", " ").encode()] = (i, max(1 / (n + 2), 1 / (2 - sp.get_score(i))))
+        self.longest = max(map(len, self.pieces))
+        self.known = {}
+
+    def units(self, text):
+        for run in re.findall(rb" +[^ ]*", b" " + text):
+            while len(run) > self.unit:
+                k = self.unit
+                while run[k] & 0xC0 == 0x80:
+                    k -= 1
+                yield run[:k]
+                run = run[k:]
+            yield run
+
+    def edges(self, u):
+        """Of each node the edges that end there, shorter ones first, bytes that no character's piece covers last: (begin, id, weight, sum before)."""
+        if u not in self.known:
+            bare = []
+            for c in u.decode():
+                b = c.encode()
+                bare += [b not in self.pieces] * len(b)
+            into, total = [[]], [1.0]
+            for j in range(1, len(u) + 1):
+                here = [(i, *self.pieces[u[i:j]]) for i in range(j - 1, max(-1, j - self.longest - 1), -1) if u[i:j] in self.pieces]
+                if bare[j - 1]:
+                    here.append((j - 1, *self.bytes[u[j - 1]]))
+                into.append([(i, x, total[i] * w) for i, x, w in here])
+                total.append(sum(w for *_, w in into[-1]))
+            self.known[u] = into, total
+        return self.known[u]
+
+    def paths(self, u):
+        """{ids: probability} of every path through a unit, by listing them."""
+        into, total = self.edges(u)
+
+        def back(j):
+            if not j:
+                return {(): 1.0}
+            return {(*p, x): q * w / total[j] for i, x, w in into[j] for p, q in back(i).items()}
+
+        return back(len(u))
+
+    def sample(self, text, key, seed=0):
+        out = []
+        for number, u in enumerate(self.units(text) if text else ()):
+            into, total = self.edges(u)
+            own, j, step, ids = mixed((mixed((key + seed) & MASK) + number * 0xA24BAED4963EE407) & MASK), len(u), 0, []
+            while j:
+                draw, run = (mixed((own + (step + 1) * 0x9E3779B97F4A7C15) & MASK) >> 11) * 2.0**-53, 0.0
+                for i, x, w in into[j]:
+                    run += w / total[j]
+                    if run > draw:
+                        break
+                ids.append(x)
+                j, step = i, step + 1
+            out += ids[::-1]
+        return out
+
+
+def language(model, text):
+    """(label, score) of a text by the network's definition: each filter a product with every run of embedded bytes, window by window."""
+    low = bytes(x + 32 if 0x41 <= x <= 0x5A else x for x in (text or "").encode())
+    low = re.sub(rb"\xc3[\x80-\x96\x98-\x9e]", lambda m: bytes([0xC3, m[0][1] + 32]), low)
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 1.0
+    width, logits = 256, []
+    for at in range(0, len(low), width):
+        w = low[at : at + width] if at + width <= len(low) else low[-width:]
+        w = w.ljust(width, b"\0")
+        if not re.search(rb"[a-zA-Z\x80-\xff]", w):
+            continue
+        e = model.E[np.frombuffer(w, np.uint8)].astype(np.float64)
+        top = [max(sum(e[i + k] @ f[k][:, c] for k in range(n)) for i in range(width - n + 1)) for n, f in sorted(model.F.items()) for c in range(f.shape[2])]
+        logits.append(np.maximum(top, 0) @ model.V + model.b)
+    p = np.exp(np.mean(logits, axis=0))
+    p /= p.sum()
+    return model.labels[int(p.argmax())], float(p.max())

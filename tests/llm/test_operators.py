@@ -279,6 +279,16 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_language_id_against_plain_convolution(spark, documents):
+    """Labels and scores are those of the trained network's definition, over whole texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs)
+    texts = documents[::8] + [(i, t) for i, t in odd_texts() if i != 80] + [(i + 1000, (t or "").upper()) for i, t in documents[:3]] + [(91, "ÀÉ×ß " * 70), (92, "1234 " * 60 + "ab")]
+    for r in language_id.predict(frame(spark, texts), model).collect():
+        label, score = brute.language(model, r["text"])
+        assert r["lang_pred"] == label and abs(r["score"] - score) < 1e-4, r["doc_id"]
+
+
 def test_language_id_learns_from_distinct_texts(spark):
     """A label whose rows are mostly copies of one text is learned like others; clashing columns are replaced."""
     rng = random.Random(2)
@@ -438,6 +448,44 @@ def test_sampling_follows_the_lattice():
             assert abs(n / len(keys) - weight[k] / total) < 0.03
 
 
+def test_sentencepiece_against_plain_lattices(spark, documents):
+    """Whole texts: the ids of every document and odd text are those that node by node sampling draws; unit by unit their shares add up to those of all paths."""
+    plain = brute.Segmenter(sentencepiece_codec.MODEL)
+    texts = documents + odd_texts()[:30] + [(95, "    indented\n\n        twice  "), (96, "  "), (97, " " * 200 + "x"), (98, "é" * 60), (99, "漢字😀" * 20), (100, None)]
+    df = frame(spark, texts)
+    keys = {r["doc_id"]: r["k"] for r in df.select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    for r in sentencepiece_codec.encode(df).collect():
+        if r["text"] is not None:
+            assert r["piece_ids"] == plain.sample(r["text"].encode(), keys[r["doc_id"]] & brute.MASK), r["doc_id"]
+    p, text, draws = sentencepiece_codec.load(sentencepiece_codec.MODEL, 1.0), "the  cat", 20000
+    want = {(): 1.0}
+    for u in plain.units(text.encode()):
+        want = {a + b: x * y for a, x in want.items() for b, y in plain.paths(u).items()}
+    assert abs(sum(want.values()) - 1) < 1e-9
+    ids, cuts = sentencepiece_codec.encode_texts([text.encode()] * draws, np.arange(draws, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), p, 0)
+    seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    assert set(seen) <= set(want)
+    assert all(abs(seen[k] - draws * q) < 6 * math.sqrt(draws * q) + 6 for k, q in want.items())
+
+
+def test_sentencepiece_replaces_clashing_columns_and_keeps_repeated_rows(spark):
+    df = frame(spark, [(1, "a  b"), (1, "a  b"), (None, "c"), (2, None)]).withColumns({"piece_ids": F.lit("x"), "decoded": F.lit(0)})
+    got = sentencepiece_codec.round_trip(df)
+    assert got.count() == 4 and got.where(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0
+    assert len({tuple(r["piece_ids"]) for r in got.where("doc_id = 1").collect()}) == 1
+
+
+def test_runs_of_spaces_are_drawn_as_pieces():
+    """Pieces of several spaces take part: their draws aren't empty, and a text of another row's spaces doesn't run into the next."""
+    p = sentencepiece_codec.load(sentencepiece_codec.MODEL, 1.0)
+    n = 3000
+    ids, cuts = sentencepiece_codec.encode_texts([b"x    y ", b" z"] * n, np.arange(2 * n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), p, 0)
+    wide = {i for i, b in enumerate(p.bytes) if len(b) > 1 and not b.strip(b" ")}
+    assert wide and wide & set(ids.tolist())
+    whole = [b"".join(p.bytes[i] for i in ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    assert set(whole[::2]) == {b" x    y "} and set(whole[1::2]) == {b"  z"}
+
+
 def test_url_filter(spark):
     rules = url_filters.rules_table(spark, queries.URL_RULES)
     urls = ["http://EXAMPLE.org/es/x", "https://a.example.org/en/12?q", "http://example.org/en", "http://notexample.org/es/", "http://x.com/fr/", "http://com/de/1", "http://x.net/", "no scheme", "http://org", "http://org/", "ftp://u@x.org:80/a", "http:///p", "://a.org/b#c/://d", None, None]
