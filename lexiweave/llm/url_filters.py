@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 8  # hex digits of the digest to join on
-BROADCAST_RULES = 50_000  # up to so many rules (digest, text and verdict, below 16 MB) are broadcast
+BROADCAST_RULES = 50_000  # up to so many rules are broadcast,
+BROADCAST_BYTES = 16 << 20  # of up to so many bytes with digests and verdicts
 SALTS = 16  # beyond that, hot expressions are spread over so many keys
-MAX_PATH = 2_048  # characters of a rule's path
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -41,34 +41,36 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", u
     rules: host, path, verdict. A rule fits its host and all subdomains when the URL's path starts with the rule's
     path; the longest rule text (host + path) wins, then the longer host, then `block`. rule is null and verdict is
     `default` where none fits. Null and malformed URLs have an empty host and path, which no rule with a host fits.
-    Repeated rows give repeated results; a null id is a value like any other; other columns are not read. Rules with
+    Repeated rows give repeated results; a null id is a value like any other; other columns are not read. URLs and rules may have any length. Rules with
     null host or path are ignored; an empty rules table leaves every row with the default.
     """
     rules = rules.where("host is not null and path is not null").select(
         F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), F.coalesce("verdict", F.lit(default)).alias("r_verdict")
     )
-    shape = rules.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(F.split("r_host", r"\."))), F.lit(1)).alias("labels"), F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths")).first()
-    if shape["lengths"] and shape["lengths"][-1] > MAX_PATH:
-        raise ValueError(f"a rule's path is longer than {MAX_PATH} characters")
+    shape = rules.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(F.split("r_host", r"\."))), F.lit(1)).alias("labels"), F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"), F.coalesce(F.sum(2 * F.octet_length("r_host") + F.octet_length("r_path") + 200), F.lit(0)).alias("bytes")).first()
+    # n distinct lengths take rules of n * n / 2 characters at least, so this list is small beside the rules.
+    lengths = F.lit(shape["lengths"] or [0])
     keyed = lambda host, path: F.sha2(F.concat(host, F.lit("\n"), path).cast("binary"), 256)
     rules = rules.withColumn("r_digest", keyed(F.col("r_host"), F.col("r_path"))).groupBy("r_digest").agg(F.first("r_host").alias("r_host"), F.first("r_path").alias("r_path"), F.max("r_verdict").alias("r_verdict"))
     rules = rules.withColumn("r_short", F.substring("r_digest", 1, PREFIX_CHARS))
 
     host, path = url_parts(F.col("url"))
-    rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url")).groupBy("id", "url").agg(F.count("*").alias("copies"))
-    rows = rows.select("id", "url", "copies", host.alias("host"), path.alias("path"))
+    # Copies are counted inside a partition of the input, so that no row stands for more of them than one task has read.
+    row = ["id", "url", "part"]
+    rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.spark_partition_id().alias("part")).groupBy(*row).agg(F.count("*").alias("copies"))
+    rows = rows.select(*row, "copies", host.alias("host"), path.alias("path"))
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(F.split("host", r"\.")), F.lit(shape["labels"]))), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
-    prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in shape["lengths"] or [0])), lambda x: x.isNotNull())
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: keyed(s, p))))
     wide = rows.withColumn("digest", F.explode_outer(pairs)).withColumn("short", F.substring("digest", 1, PREFIX_CHARS))
     match = (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest"))
-    if shape["n"] <= BROADCAST_RULES:
+    if shape["n"] <= BROADCAST_RULES and shape["bytes"] <= BROADCAST_BYTES:
         joined = wide.join(F.broadcast(rules), match, "left")
     else:
         salted = rules.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = wide.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, match & (F.col("salt") == F.col("r_salt")), "left")
+        joined = wide.withColumn("salt", F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("int")).join(salted, match & (F.col("salt") == F.col("r_salt")), "left")
     rank = F.when(F.col("r_digest").isNotNull(), F.struct((F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), "r_verdict", F.concat("r_host", "r_path").alias("rule")))
-    best = joined.groupBy("id", "url", "copies", "host", "path").agg(F.max(rank).alias("best"))
+    best = joined.groupBy(*row, "copies", "host", "path").agg(F.max(rank).alias("best"))
     best = best.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return best.select(F.col("id").alias(id_column), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
 

@@ -502,6 +502,19 @@ def test_url_filter(spark):
     assert url_filters.url_filter(df.limit(0), rules).count() == 0
 
 
+def test_long_urls_rules_and_many_copies(spark, monkeypatch):
+    """No bound on the length of a rule's path or a URL; rows that repeat over partitions, without id or URL too, all come back."""
+    deep = "/" + "a" * 3000
+    rules = url_filters.rules_table(spark, [("org", "/", "allow"), ("x.org", deep, "block"), ("org", deep + "b", "allow")])
+    long = "http://X.org" + deep + "b" + "c" * 100_000
+    data = [(1, long + "?q"), (2, "http://x.org" + deep), (3, "http://x.org" + deep[:-1])] + [(None, None)] * 50 + [(7, "http://y.org/")] * 30
+    df = spark.createDataFrame(data, "page_id long, url string").repartition(5).withColumns({"part": F.lit(1), "copies": F.lit(9), "id": F.lit("x")})
+    want = [(1, "x.org", long[12:], "x.org" + deep, "block"), (2, "x.org", deep, "x.org" + deep, "block"), (3, "x.org", deep[:-1], "org/", "allow"), *[(None, "", "", None, "allow")] * 50, *[(7, "y.org", "/", "org/", "allow")] * 30]
+    same(url_filters.url_filter(df, rules), want)
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", 1)
+    same(url_filters.url_filter(df, rules), want)
+
+
 def test_many_url_rules_take_the_salted_join(spark, monkeypatch):
     rules = url_filters.rules_table(spark, queries.URL_RULES)
     pages = spark.read.parquet(f"{SF}/pages.parquet")
