@@ -21,6 +21,11 @@ MIN_SCORE = 0.5  # held-out documents of sf0.1 score 0.434 or more in all but 0.
 ORACLE_SQL = None  # the stages aren't SQL; tests hold near-duplicates, repeats and decontamination against plain restatements
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with other names for the columns beside those of documents, so that they don't clash with an operator's."""
+    return docs.toDF(*(c if c in COLUMNS else f"column_{k}_beside" for k, c in enumerate(docs.columns)))
+
+
 def _resized(docs: DataFrame, before: DataFrame) -> DataFrame:
     """docs with n_chars as their texts are now, without those that have no word left, in the columns of `before`."""
     kept = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -30,26 +35,30 @@ def _resized(docs: DataFrame, before: DataFrame) -> DataFrame:
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs whose language is known: those with null text, without a letter, or with a score below MIN_SCORE go. Learns from labelled rows that aren't held out; without any, nothing stays."""
     reach_workers(spark)
-    model = language_id.fit(docs.where(F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(True))))
-    judged = language_id.predict(docs, model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    plain = _plain(docs)
+    model = language_id.fit(plain.where(F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(True))))
+    judged = language_id.predict(plain, model)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the document with the smallest id, repeated rows once; documents without words or id all stay."""
-    return ngram_jaccard.one_of_each(docs).select(*docs.columns)
+    plain = _plain(docs)
+    return ngram_jaccard.one_of_each(plain).select(*plain.columns).toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the characters of repeated strings of 200 bytes, the first copy's too; documents without a word left, and null texts, go."""
-    return _resized(suffix_dedup.strip_repeats(docs), docs)
+    plain = _plain(docs)
+    return _resized(suffix_dedup.strip_repeats(plain), plain).toDF(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the words of benchmark windows; documents without a word left, and null texts, go. An empty benchmark changes nothing."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_contamination(docs, items)
-    return _resized(decontaminate.strip_spans(found), docs)
+    plain = _plain(docs)
+    found = decontaminate.find_contamination(plain, items)
+    return _resized(decontaminate.strip_spans(found), plain).toDF(*docs.columns)
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
