@@ -223,7 +223,7 @@ def _scored(docs: DataFrame, blocks: DataFrame, answers: DataFrame, model: Model
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs, which has held_out (boolean)."""
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs, which has held_out (boolean; carried along only). Null texts are empty; other columns are not read."""
     blocks, shards = _cut(docs, id_column, text), model.shards
     known = counts.select(F.lit(None).cast("long").alias("block"), "shard", "keys", "counts")
     asked = blocks.mapInArrow(lambda b: _ask(b, shards, False), ASKED).unionByName(known)
@@ -231,7 +231,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "do
 
 
 def score_held_out(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """As `fit` on the rows of docs that aren't held out and `score` of all, with one pass over keys for both."""
+    """As `fit` on the rows of docs that aren't held out and `score` of all, with one pass over keys for both.
+
+    A null held_out counts as held out. Null texts are empty; every row gives a row, repeated ones too, and columns of
+    docs beside the three are not read. An empty table, or one without a row to learn from, has N = 0.
+    """
     blocks, shards = _cut(docs, id_column, text), min(shards_for(docs), 1 << 16)
     answers = stored(blocks.mapInArrow(lambda b: _ask(b, shards, True), ASKED).groupBy("shard").applyInArrow(_answer, BLOCKS), "answers")
     totals = sum((np.frombuffer(r["data"], np.int64) for r in answers.where("block is null").select("data").collect()), np.zeros(3, np.int64))

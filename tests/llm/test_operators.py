@@ -365,6 +365,19 @@ def test_language_model_counts_what_was_seen_once(spark):
     assert got[3] > got[4]
 
 
+def test_language_model_odd_rows(spark):
+    """A null held_out isn't learned from; null, empty and repeated texts and ids are scored, clashing columns not read."""
+    texts = [(1, "a b a"), (1, "a b a"), (2, None), (3, ""), (None, "b c"), (4, "never seen")]
+    docs = frame(spark, texts).withColumn("held_out", F.when(F.col("doc_id") == 4, F.lit(None)).otherwise(F.lit(False))).withColumns({"score": F.lit("x"), "n_tokens": F.lit("y"), "block": F.lit(0)})
+    got = ngram_lm.score_held_out(docs).collect()
+    want = brute_scores([t or "" for k, t in texts if k != 4], {k: t or "" for k, t in texts})
+    assert len(got) == len(texts) and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in got)
+    assert {r["n_known"] for r in got if r["doc_id"] == 4} == {1}
+    assert ngram_lm.score_held_out(docs.limit(0)).count() == 0
+    alone = ngram_lm.score_held_out(docs.where("held_out is null")).first()
+    assert (alone["train_tokens"], alone["n_known"], alone["base_score"]) == (0, 0, 0.0)
+
+
 def brute_scores(training, texts):
     """Interpolated scores from counts in dictionaries."""
     words, pairs = Counter(), Counter()

@@ -67,6 +67,25 @@ def test_decontamination(spark):
     assert all(f"first{i - 10}" in t and f"last{i - 10}" in t for i, t in left)
 
 
+def test_stages_over_odd_texts(spark):
+    """Null, empty, very long and repeated texts, null ids and columns of clashing names go through every stage; an empty table gives an empty one."""
+    docs = frame(spark, odd_texts()).withColumns({"lang_pred": F.lit("x"), "piece_ids": F.lit("y"), "spans": F.lit(0), "score": F.lit("z")})
+    texts = odd_texts()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name != "pieces":
+            assert got.columns == docs.columns
+            assert {(r["lang_pred"], r["piece_ids"], r["spans"], r["score"]) for r in got.select("lang_pred", "piece_ids", "spans", "score").collect()} == {("x", "y", 0, "z")}
+        assert {r["doc_id"] for r in got.select("doc_id").collect()} <= {i for i, _ in texts}
+    assert texts_of(got) == sorted(texts, key=repr)
+    assert {r["n_pieces"] for r in got.where("text is null").collect()} == {None}
+    kept = texts_of(STAGE["language_id"](spark, docs, SF))
+    assert set(kept) <= {(i, t) for i, t in texts if t and any(map(str.isalpha, t))}
+    clean = STAGE["decontamination"](spark, docs, SF)
+    assert texts_of(clean) == sorted(((i, t) for i, t in texts if t and re.search(r"[^\x20\x09-\x0D]", t)), key=repr)
+
+
 def test_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs.where(remainder(F.col("doc_id"), 4) != 2))
