@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -27,6 +28,36 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark 4.1's setting by which a query's shuffle files go when it ends; without it they stay until the driver's JVM happens to collect its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidied(spark: SparkSession):
+    """Of each query run in the block, the shuffle files go when it ends. Not for toLocalIterator(), which reads them later."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
+@contextlib.contextmanager
+def passing(df: DataFrame, tag: str):
+    """stored(), for a block that reads the table with actions of its own: at its end the table's folder is deleted."""
+    table = stored(df, tag)
+    try:
+        yield table
+    finally:
+        for file in table.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """`name`, with underscores before it until no frame has such a column."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import U64, blobs, chunked, mix, powers, prefix_hash, release, span_hash
-from .filters import BLOB_SCHEMA, build_filter, count_blobs, frequent_keys
-from .shared import fresh, shards_for, stored
+from .filters import BLOB_SCHEMA, build_filter, count_blobs, frequent_keys, pack_keys, unpack_keys
+from .shared import fresh, passing, shards_for, stored, tidied
 
 LENGTH = 200
 HOT = 48  # occurrences from which an anchor's windows are dealt by fingerprint
@@ -305,7 +305,7 @@ def _match(batches, length):
     release()
 
 
-HOT_SCHEMA = "uid long, shard int, prints binary, checks binary, many binary, number binary, inverse binary, n_windows binary, n_rows binary, row binary, row_pos binary"
+HOT_SCHEMA = "uid long, shard int, first int, prints binary, checks binary, many binary, inverse binary, n_windows binary, n_rows binary, row binary, row_pos binary"
 
 
 def _hot_windows(batches, hot, length, shards):
@@ -325,21 +325,24 @@ def _hot_windows(batches, hot, length, shards):
         many[inverse[np.repeat(c.many, n_windows)]] = True
         checks = (span_hash(a.sums, start[index], start[index] + length // 2) >> U64(32)).astype(np.uint32)
         uid = int.from_bytes(os.urandom(8), "little") >> 1
-        out = [(uid, k, p, x, m, i, None, None, None, None, None) for k, p, x, m, i in blobs(prints, shards, checks, many, np.arange(len(prints), dtype=np.int32))]
+        out, at = [], 0
+        for k, p, x, m in blobs(prints, shards, checks, many):  # prints are sorted, so that a blob's are numbered from `at` on
+            out.append((uid, k, at, pack_keys(np.frombuffer(p, U64)), x, m, None, None, None, None, None))
+            at += len(m)
         out.append((uid, -1, None, None, None, None, inverse.astype(np.int32).tobytes(), n_windows.astype(np.int32).tobytes(), c.n_rows.astype(np.int32).tobytes(), c.row.tobytes(), c.row_pos.tobytes()))
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32()] + [pa.binary()] * 9, strict=True)], names=names)
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 8, strict=True)], names=names)
 
 
 def _hot_repeats(key, group):
     """Of each chunk the numbers of its windows that another chunk has too, or that are many in it."""
-    held = [np.frombuffer(x, U64) for x in group.column("prints").to_pylist()]
+    held = [unpack_keys(x) for x in group.column("prints").to_pylist()]
     prints, checks = np.concatenate(held), np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("checks").to_pylist()])
     flag = np.concatenate([np.frombuffer(x, bool) for x in group.column("many").to_pylist()])
     order = np.lexsort((checks, prints))
     same = np.flatnonzero((prints[order[1:]] == prints[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]]))
     flag[order[same]] = flag[order[same + 1]] = True
     cuts = np.cumsum([0, *map(len, held)])
-    number = [np.frombuffer(x, np.int32)[flag[cuts[i] : cuts[i + 1]]].tobytes() for i, x in enumerate(group.column("number").to_pylist())]
+    number = [(first + np.flatnonzero(flag[cuts[i] : cuts[i + 1]])).astype(np.int32).tobytes() for i, first in enumerate(group.column("first").to_pylist())]
     release()
     return pa.table({"uid": group.column("uid"), "number": pa.array(number, pa.binary())})
 
@@ -362,13 +365,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shards = shards_for(docs)
     context = docs.sparkSession.sparkContext
     counts = docs.mapInArrow(lambda batches: count_blobs((Anchors(texts, length).hash for texts, *_ in _pieces(batches, length)), shards), BLOB_SCHEMA)
-    maybe, hot = (context.broadcast(build_filter(t, shards)) for t in frequent_keys(counts, (2, HOT), "anchors"))
+    with tidied(docs.sparkSession):
+        tables = frequent_keys(counts, (2, HOT), "anchors")
+    maybe, hot = (context.broadcast(build_filter(t, shards)) for t in tables)
+    with tidied(docs.sparkSession), passing(docs.mapInArrow(lambda batches: _hot_windows(batches, hot.value, length, shards), HOT_SCHEMA), "hot") as often:
+        answers = often.where("shard >= 0").select("uid", "shard", "first", "prints", "checks", "many").groupBy("shard").applyInArrow(_hot_repeats, "uid long, number binary")
+        own = often.where("shard < 0").drop("shard", "first", "prints", "checks", "many")
+        found = stored(answers.groupBy("uid").cogroup(own.groupBy("uid")).applyInArrow(_hot_spans(length), SPANS), "hot-spans")
     near = docs.mapInArrow(lambda batches: _contexts(batches, maybe.value, hot.value, length), "anchor long, text binary, rows binary, places binary, many boolean")
-    spans = near.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _match(batches, length), SPANS)
-    often = stored(docs.mapInArrow(lambda batches: _hot_windows(batches, hot.value, length, shards), HOT_SCHEMA), "hot")
-    answers = often.where("shard >= 0").select("uid", "shard", "prints", "checks", "many", "number").groupBy("shard").applyInArrow(_hot_repeats, "uid long, number binary")
-    own = often.where("shard < 0").drop("shard", "prints", "checks", "many", "number")
-    return spans.union(answers.groupBy("uid").cogroup(own.groupBy("uid")).applyInArrow(_hot_spans(length), SPANS))
+    return near.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _match(batches, length), SPANS).union(found)
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -393,7 +398,8 @@ def with_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> Dat
     rid, rid2 = fresh("rid", docs), fresh("rid2", docs)
     of = F.xxhash64(text), F.xxhash64(F.lit("second"), F.reverse(text))
     spans = repeated_spans(docs.where(F.octet_length(text) >= length).select(of[0].alias("rid"), of[1].alias("rid2"), F.col(text).cast("binary").alias("t")), length)
-    spans = stored(spans.groupBy("rid", "rid2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("repeats")).toDF(rid, rid2, "repeats"), "spans")
+    with tidied(docs.sparkSession):
+        spans = stored(spans.groupBy("rid", "rid2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("repeats")).toDF(rid, rid2, "repeats"), "spans")
     keyed = docs.withColumn(rid, of[0]).withColumn(rid2, of[1])
     return keyed.join(spans.hint("shuffle_hash"), [rid, rid2], "left").drop(rid, rid2)
 

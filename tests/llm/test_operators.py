@@ -1,7 +1,9 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -169,6 +171,25 @@ def test_suffix_dedup_hot_and_cold_paths_agree(spark, monkeypatch):
         same(suffix_dedup.report(frame(spark, odd_texts()), length=50), want)
 
 
+def test_suffix_dedup_leaves_no_shuffles(spark, monkeypatch):
+    """What its steps shuffle, and the hot windows they store, is gone before the spans are joined, whenever the JVM collects its garbage."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    local = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in local for p in d.rglob("shuffle_*.data")}
+    large = lambda p: p.exists() and p.stat().st_size > 10_000
+    before, folders = files(), set(shared.glob("*"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = suffix_dedup.with_spans(docs)
+    for _ in range(50):
+        if not any(map(large, files() - before)):
+            break
+        time.sleep(0.1)
+    assert not any(map(large, files() - before))
+    assert {p.name.rsplit("-", 1)[0] for p in set(shared.glob("*")) - folders} == {"anchors", "hot-spans", "spans"}
+    assert found.where("repeats is not null").count() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_strip_repeats_keeps_characters(spark):
     out = suffix_dedup.strip_repeats(frame(spark, odd_texts()))
     got = {(r["doc_id"], r["text"]) for r in out.collect()}
