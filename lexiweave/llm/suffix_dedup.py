@@ -240,6 +240,19 @@ def _spans(flag: np.ndarray, n_windows: np.ndarray, n_rows: np.ndarray, row: np.
     return row[at], (row_pos[at] + start[run]).astype(np.int32), (row_pos[at] + stop[run]).astype(np.int32)
 
 
+def _joined(row: np.ndarray, start: np.ndarray, stop: np.ndarray):
+    """The spans by row and start, those of one row that overlap or touch as one."""
+    if not len(row):
+        return row, start, stop
+    by = np.lexsort((start, row["b"], row["a"]))
+    row, start, stop = row[by], start[by], stop[by]
+    base = np.cumsum(np.concatenate(([False], row[1:] != row[:-1])), dtype=np.int64) << 32
+    reach = np.maximum.accumulate(base + stop)
+    head = np.concatenate(([True], (base + start)[1:] > reach[:-1]))
+    tail = np.append(head[1:], True)
+    return row[head], start[head], (reach - base)[tail].astype(np.int32)
+
+
 SPANS = "rid long, rid2 long, start int, stop int"
 
 
@@ -355,7 +368,7 @@ def _hot_spans(length):
             flag[np.frombuffer(x, np.int32)] = True
         n_windows, n_rows, row_pos = (np.frombuffer(own.column(c)[0].as_py(), np.int32) for c in ("n_windows", "n_rows", "row_pos"))
         row, start, stop = _spans(flag[inverse], n_windows.astype(np.int64), n_rows.astype(np.int64), np.frombuffer(own.column("row")[0].as_py(), RID), row_pos, length)
-        return pa.Table.from_batches([_span_batch(row, start, stop)])
+        return pa.Table.from_batches([_span_batch(*_joined(row, start, stop))])
 
     return back
 

@@ -190,6 +190,20 @@ def test_suffix_dedup_leaves_no_shuffles(spark, monkeypatch):
     assert found.where("repeats is not null").count() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_spans_of_a_row_are_joined():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 60):
+        row = np.empty(n, suffix_dedup.RID)
+        row["a"], row["b"] = rng.integers(-2, 2, n) << 62, rng.integers(0, 2, n)
+        start = rng.integers(0, 200, n).astype(np.int32) + np.int32(2**31 - 300)
+        stop = start + rng.integers(1, 12, n).astype(np.int32)
+        spans = {}
+        for k, a, b in sorted(zip(row.tolist(), start.tolist(), stop.tolist(), strict=True)):
+            spans.setdefault(k, []).append((a, b))
+        got = list(zip(*(x.tolist() for x in suffix_dedup._joined(row, start, stop)), strict=True))
+        assert got == [(k, a, b) for k in sorted(spans) for a, b in suffix_dedup.merged(spans[k])]
+
+
 def test_strip_repeats_keeps_characters(spark):
     out = suffix_dedup.strip_repeats(frame(spark, odd_texts()))
     got = {(r["doc_id"], r["text"]) for r in out.collect()}
